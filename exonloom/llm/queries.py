@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from exonloom.llm import bpe, mixing
+from exonloom.llm.common import cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
 
@@ -15,8 +18,30 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    position = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(-1)).alias("position")  # -1: not taken
+    out = cut(mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", position))
+    return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+
+
+def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary lies; the package that holds it is installed on driver and executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"), vocabulary_file(), with_ids=False)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_mixing": op3_mixing,
+    "op9_bpe": op9_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+}
