@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(sigs.filter("n > 0").groupBy("print").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("mh").alias("mh")))
     nodes = classes.filter("node is not null").select("node", "n", "mh")
     part = lambda lo: F.slice("mh", lo + 1, r)
-    keys = nodes.select("node", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), part(i * r), part((m + j) * r)) for i in range(m) for j in range(m)))).alias("key"))
+    keys = nodes.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), part(i * r), part((m + j) * r)) for i in range(m) for j in range(m)))).alias("table", "key"))
     shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).filter("lead.node < top").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
     buckets = cut(keys.join(shared, "key"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links)
 
     # round 2
-    placed = buckets.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = buckets.select("key", "table", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
     placed = cut(placed.join(sizes, "component", "left").withColumn("members", F.coalesce("members", F.lit(1))))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max(F.struct("members", "component")).alias("main"), F.max("component").alias("high")).filter("low < high").select("key", F.col("main.component").alias("main"))
@@ -133,10 +133,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reaches = lambda f, g, x, y: F.least(f, g) * (100 + percent) >= (x + y) * percent
     side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
     c = F.col
-    rows = cut(open_.join(counts, "node").filter((c("f1") * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent)))
+    rows = cut(open_.join(nodes.select("node", "mh"), "node").join(counts, "node").filter((c("f1") * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent)))
     dense = rows.filter(c("f") * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent)
     minor, every = side(dense.filter("component != main"), "x"), side(dense, "y")
-    through_keys = minor.join(every, (c("key_x") == c("key_y")) & (c("component_x") != c("component_y")) & fits(c("n_x"), c("n_y")) & reaches(c("f_x"), c("f_y"), c("n_x"), c("n_y")))
+    # a pair is taken up in the first table that it shares, so that it comes out once
+    same = F.zip_with("mh_x", "mh_y", lambda p, q: p == q)
+    agreed = lambda base: F.array_position(F.array(*(F.forall(F.slice(same, base + 1 + k * r, r), lambda v: v) for k in range(m))), True)
+    first = ((agreed(0) - 1) * m + agreed(m * r) - 1 == c("table_x")) & (F.size(F.filter(same, lambda v: v)) >= m * r)
+    through_keys = minor.join(every, (c("key_x") == c("key_y")) & (c("component_x") != c("component_y")) & fits(c("n_x"), c("n_y")) & reaches(c("f_x"), c("f_y"), c("n_x"), c("n_y")) & first)
     rare = held.filter(c("df") <= RARE).join(rows.select("node", "component", "n", "f1").distinct(), "node")
     through_rare = side(rare, "x").join(side(rare, "y"), (c("element_x") == c("element_y")) & (c("node_x") > c("node_y")) & (c("component_x") != c("component_y")) & fits(c("n_x"), c("n_y")) & reaches(c("f1_x"), c("f1_y"), c("n_x"), c("n_y")))
     ends = [F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")]
@@ -166,6 +170,6 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     at the similarity asked for, 0.8 or more, fewer than one pair in 1,000 has so few."""
     x, y = (nodes.select(F.col("node").alias(k), F.col("mh").alias(f"mh_{k}")) for k in "ab")
     agree = F.aggregate(F.zip_with("mh_a", "mh_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    pairs = cut(pairs.join(x, "a").join(y, "b").filter(agree >= half).select("a", "b").distinct())
+    pairs = cut(pairs.join(x, "a").join(y, "b").filter(agree >= half).select("a", "b"))
     s, t = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"set_{k}")) for k in "ab")
     return pairs.join(s, "a").join(t, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a bigint, b bigint")
