@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import bpe, mixing
-from exonloom.llm.common import cut
+from exonloom.llm import bpe, mixing, quality, toxicity
+from exonloom.llm.common import crc_remainder, cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
 
@@ -25,6 +25,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fitted(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, _table(spark, sf_dir, "labels"), where=quality.training_rows(4, 2))
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return quality.scored(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary lies; the package that holds it is installed on driver and executors alike."""
     import public_tokenizers
@@ -39,6 +51,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
 }
 
