@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import bpe, mixing, quality, toxicity
+from exonloom.llm import bpe, licenses, mixing, quality, toxicity
 from exonloom.llm.common import crc_remainder, cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
@@ -48,12 +48,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), vocabulary_file(), with_ids=False)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scanned(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
