@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import bpe, licenses, mixing, quality, toxicity
+from exonloom.llm import bpe, html_text, licenses, mixing, quality, toxicity
 from exonloom.llm.common import crc_remainder, cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
@@ -18,6 +18,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     position = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(-1)).alias("position")  # -1: not taken
@@ -54,6 +58,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_html_text": op2_html_text,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
