@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import bpe, html_text, licenses, mixing, quality, toxicity
+from exonloom.llm import bpe, html_text, licenses, mixing, ppm, quality, toxicity
 from exonloom.llm.common import crc_remainder, cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
@@ -26,7 +26,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     position = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(-1)).alias("position")  # -1: not taken
     out = cut(mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", position))
-    return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fitted(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fitted(docs, _table(spark, sf_dir, "labels"), where=quality.training_rows(4, 2))
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
+    "op5_ppm": op5_ppm,
     "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
