@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonloom.llm import bpe, html_text, licenses, mixing, ppm, quality, toxicity
+from exonloom.llm import bpe, cross_polytope, html_text, itq, licenses, mixing, ppm, quality, toxicity
 from exonloom.llm.common import crc_remainder, cut
 from exonloom.llm.minhash_dedup import near_duplicates
 
@@ -45,6 +45,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary lies; the package that holds it is installed on driver and executors alike."""
     import public_tokenizers
@@ -67,6 +75,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_ppm": op5_ppm,
     "op6_quality": op6_quality,
+    "op7_cross_polytope": op7_cross_polytope,
+    "op8_itq_dedup": op8_itq_dedup,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
 }
