@@ -1 +1,3 @@
 """The query modules, imported so that they register themselves."""
+
+from exonloom.plans import counting_queries  # noqa: F401
