@@ -129,7 +129,7 @@ def interval_merge(s, d):
 
 @query("coverage_consensus", f"""WITH e AS (SELECT chrom, x, sum(v) AS v FROM (SELECT chrom, start AS x, 1 AS v FROM {INTERVALS} UNION ALL SELECT chrom, "end", -1 FROM {INTERVALS}) GROUP BY 1, 2),
 c AS (SELECT *, sum(v) OVER (PARTITION BY chrom ORDER BY x) >= 2 AS deep FROM e), f AS (SELECT *, coalesce(lag(deep) OVER (PARTITION BY chrom ORDER BY x), false) AS was FROM c),
-g AS (SELECT chrom, x, deep, lead(at) OVER (PARTITION BY chrom ORDER BY x) AS nxt FROM f WHERE deep != was) SELECT chrom, at AS start, nxt AS "end" FROM g WHERE deep""")
+g AS (SELECT chrom, x, deep, lead(x) OVER (PARTITION BY chrom ORDER BY x) AS nxt FROM f WHERE deep != was) SELECT chrom, x AS start, nxt AS "end" FROM g WHERE deep""")
 def coverage_consensus(s, d):
     return U.coverage_runs(A.intervals(s, d), "chrom", 2)
 
