@@ -27,8 +27,8 @@ PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general
 #: label: (keyword, pattern of the name in folded words)
 NAMES = {
     "0bsd": ("0bsd", r"(?:0bsd|bsd zero clause)"),
-    "afl-3.0": ("academic", r"academic free license(?: v| version)?(?: 3(?: 0)?)?"),
-    "agpl-3.0": ("affero", r"(?:gnu )?affero general public license(?: version| v)?(?: 3(?: 0)?)?"),
+    "afl-3.0": ("academic", r"academic free license(?: version)?(?: v? ?3(?: 0)?)?"),
+    "agpl-3.0": ("affero", r"(?:gnu )?affero general public license(?: version)?(?: v? ?3(?: 0)?)?"),
     "apache-1.1": ("apache", r"apache(?: software)? license version 1 1"),
     "apache-2.0": ("apache", r"apache(?: software)? (?:license (?:version |v)?|v)?2(?: 0)?"),
     "apsl-2.0": ("apple", r"apple public source license(?: version)?(?: 2(?: 0)?)?"),
@@ -59,33 +59,33 @@ NAMES = {
     "cpal-1.0": ("common", r"common public attribution license(?: version)?(?: 1 0)?"),
     "cpl-1.0": ("common", r"common public license(?: version)?(?: 1 0)?"),
     "ecl-2.0": ("educational", r"educational community license(?: version)?(?: 2 0)?"),
-    "epl-1.0": ("eclipse", r"eclipse public license(?: version| v)? 1(?: 0)?"),
-    "epl-2.0": ("eclipse", r"eclipse public license(?: version| v)? 2(?: 0)?"),
-    "eupl-1.2": ("european", r"european union public licen[cs]e(?: version| v)?(?: 1 2)?"),
+    "epl-1.0": ("eclipse", r"eclipse public license(?: version)? v? ?1(?: 0)?"),
+    "epl-2.0": ("eclipse", r"eclipse public license(?: version)? v? ?2(?: 0)?"),
+    "eupl-1.2": ("european", r"european union public licen[cs]e(?: version)?(?: v? ?1 2)?"),
     "gfdl-1.3": ("documentation", r"(?:gnu )?free documentation license(?: version)?(?: 1 [0-3])?"),
-    "gpl-1.0": ("general", r"(?:gnu )?general public license(?: version| v)? 1(?: 0)?"),
-    "gpl-2.0": ("general", r"(?:gnu )?general public license(?: version| v)? 2(?: 0)?"),
-    "gpl-3.0": ("general", r"(?:gnu )?general public license(?: version| v)? 3(?: 0)?"),
+    "gpl-1.0": ("general", r"(?:gnu )?general public license(?: version)? v? ?1(?: 0)?"),
+    "gpl-2.0": ("general", r"(?:gnu )?general public license(?: version)? v? ?2(?: 0)?"),
+    "gpl-3.0": ("general", r"(?:gnu )?general public license(?: version)? v? ?3(?: 0)?"),
     "isc": ("isc", r"isc"),
-    "lgpl-2.1": ("lesser", r"(?:gnu )?(?:lesser|library) general public license(?: version| v)? 2(?: [01])?"),
-    "lgpl-3.0": ("lesser", r"(?:gnu )?lesser general public license(?: version| v)? 3(?: 0)?"),
+    "lgpl-2.1": ("lesser", r"(?:gnu )?(?:lesser|library) general public license(?: version)? v? ?2(?: [01])?"),
+    "lgpl-3.0": ("lesser", r"(?:gnu )?lesser general public license(?: version)? v? ?3(?: 0)?"),
     "lppl-1.3c": ("latex", r"latex project public license(?: version)?(?: 1 3[abc]?)?"),
     "mit": ("mit", r"(?:mit|expat|mit x11|x11)"),
     "mit-0": ("attribution", r"mit no attribution"),
-    "mpl-1.1": ("mozilla", r"mozilla public license(?: version| v)? 1 1"),
-    "mpl-2.0": ("mozilla", r"mozilla public license(?: version| v)? 2(?: 0)?"),
+    "mpl-1.1": ("mozilla", r"mozilla public license(?: version)? v? ?1 1"),
+    "mpl-2.0": ("mozilla", r"mozilla public license(?: version)? v? ?2(?: 0)?"),
     "ms-pl": ("microsoft", r"microsoft public license"),
     "ms-rl": ("microsoft", r"microsoft reciprocal license"),
     "ncsa": ("illinois", r"university of illinois(?: ncsa)? open source license"),
-    "odbl-1.0": ("database", r"open (?:data commons open )?database license(?: version| v)?(?: 1 0)?"),
+    "odbl-1.0": ("database", r"open (?:data commons open )?database license(?: version)?(?: v? ?1 0)?"),
     "ofl-1.1": ("font", r"(?:sil )?open font license(?: version)?(?: 1 1)?"),
-    "osl-3.0": ("open", r"open software license(?: version| v)?(?: 3(?: 0)?)?"),
+    "osl-3.0": ("open", r"open software license(?: version)?(?: v? ?3(?: 0)?)?"),
     "postgresql": ("postgresql", r"postgresql"),
     "psf-2.0": ("python", r"python software foundation license(?: version)?(?: 2)?"),
     "qpl-1.0": ("public", r"q public license(?: version)?(?: 1 0)?"),
     "sspl-1.0": ("server", r"server side public license(?: version)?(?: 1)?"),
     "unlicense": ("unlicense", r"unlicense"),
-    "upl-1.0": ("universal", r"universal permissive license(?: version| v)?(?: 1 0)?"),
+    "upl-1.0": ("universal", r"universal permissive license(?: version)?(?: v? ?1 0)?"),
     "wtfpl": ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)"),
     "zlib": ("zlib", r"zlib"),
     "zpl-2.1": ("zope", r"zope public license(?: version)?(?: 2(?: [01])?)?"),
