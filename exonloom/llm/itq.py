@@ -29,16 +29,15 @@ BLOCK = 1024
 
 @dataclass
 class Codes:
-    """Centre and rotations; code() gives a row's substrings, one per table."""
+    """Rotations; code() gives a row's substrings, one per table."""
 
-    centre: np.ndarray
     turns: np.ndarray  # rotation x dim x dim
     bits: int
     tables: int
 
     def code(self, unit: np.ndarray) -> np.ndarray:
         """Unit rows to table x row integers of ``bits`` bits."""
-        signs = np.concatenate([(unit - self.centre) @ t for t in self.turns], 1) > 0
+        signs = np.concatenate([unit @ t for t in self.turns], 1) > 0
         weights = 1 << np.arange(self.bits, dtype=np.int64)
         return np.stack([signs[:, k * self.bits : (k + 1) * self.bits] @ weights for k in range(self.tables)])
 
@@ -51,13 +50,15 @@ def plan(n: int, cosine: float, missed: float = 0.005, bucket: int = 32) -> tupl
 
 
 def learned(sample: np.ndarray, bits: int, tables: int, steps: int = 30, seed: int = 11) -> Codes:
-    """Principal axes, then alternately the codes nearest to the turned rows and the rotation nearest to the codes."""
+    """Principal axes, then alternately the codes nearest to the turned rows and the rotation nearest to the codes.
+
+    Rows aren't centred: bits split by planes through the origin, so that near rows agree in them by their angle alone,
+    also where most rows are copies around one point.
+    """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    centre = sample.mean(0) if len(sample) else np.zeros(dim)
-    x = sample - centre
-    axes = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(dim))[1][:, ::-1]
-    y, turns = x @ axes, []
+    axes = np.linalg.eigh(sample.T @ sample + 1e-12 * np.eye(dim))[1][:, ::-1]
+    y, turns = sample @ axes, []
     for _ in range(math.ceil(bits * tables / dim)):
         r = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         for _ in range(steps):
@@ -65,7 +66,7 @@ def learned(sample: np.ndarray, bits: int, tables: int, steps: int = 30, seed: i
             u, _, vt = np.linalg.svd(b.T @ y)
             r = (u @ vt).T
         turns.append(axes @ r)
-    return Codes(centre, np.array(turns), bits, tables)
+    return Codes(np.array(turns), bits, tables)
 
 
 def _coded(codes: Codes, kind: str, dim: int):
