@@ -62,8 +62,12 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -40, 40)))
 
 
-def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: float = 3.3, ridge: float = 0.002, steps: int = 600) -> Ordinal:
-    """``flat``: for each document its distinct features.  Full-batch Adam on the penalised likelihood."""
+def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: float = 3.3, least_lift: float = 2.0, ridge: float = 0.002, steps: int = 4000) -> Ordinal:
+    """``flat``: for each document its distinct features.  Full-batch Adam on the penalised likelihood.
+
+    Features count if their log odds in toxic documents are ``least_lift`` above those in clean ones, and ``least_z``
+    standard errors: toxic documents may be longer, which lifts any word a little.
+    """
     n = np.bincount(toxic, minlength=2)
     if n.min() == 0:
         return Ordinal()
@@ -72,7 +76,7 @@ def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: flo
     df = np.array([np.bincount(at[toxic[doc] == k], minlength=len(seen)) for k in (0, 1)], float)
     odds = [np.log((df[k] + 0.5) / (n[k] - df[k] + 0.5)) for k in (0, 1)]
     z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5))
-    keep = (z >= least_z) & (df.sum(0) >= 3)
+    keep = (z >= least_z) & (odds[1] - odds[0] >= least_lift) & (df.sum(0) >= 3)
     if not keep.any():
         return Ordinal()
     place = {int(f): k for k, f in enumerate(seen[keep])}
@@ -146,7 +150,7 @@ def one_of_each(marked: list[tuple[int, bytes]]) -> list[int]:
     return [k for k in range(len(marked)) if top(k) == k]
 
 
-def severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", at: float = 0.5, keep: bool = False) -> DataFrame:
+def severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, keep: bool = False) -> DataFrame:
     """(id, severity, p_toxic, grade, toxic) for every row of ``docs``; with ``keep``, its rows that are not toxic.
 
     ``severity`` is the expected grade, ``p_toxic`` the probability of grade 1 or more, ``grade`` the number of
