@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to spark.checkpoint.dir (or, where unset, as in local runs, a temporary folder) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="exonloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/exonloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from exonloom.sources.shared import cut
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:

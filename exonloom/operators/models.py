@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from exonloom.sources.shared import cut
+
 
 def ridge_normal(rows: DataFrame, features: list[str], target: str, alpha: float) -> tuple[np.ndarray, float]:
     """Ridge weights and intercept from one pass: sums of products are added up in Spark, a matrix of
@@ -177,8 +179,6 @@ def nmf(x: np.ndarray, rank: int, steps: int = 300, seed: int = 0) -> tuple[np.n
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation: in each round a node takes the label that most of its neighbours' weight
     has, the smallest at a tie.  edges is (a, b, weight), each pair once."""
-    from exonloom.operators.graphs import cut
-
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("near"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"), "weight")))
     labels = both.select("node").distinct().withColumn("community", F.col("node"))
     before = None
