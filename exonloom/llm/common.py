@@ -1,40 +1,13 @@
-"""What the operators share: tables in the cluster's shared folder, column picking, connected components."""
+"""What the operators share: column picking, held-out rows, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from exonloom.sources.shared import cut, discard
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="exonloom-")  # local mode only: there, one machine holds all
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/exonloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._exonloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and nothing will read again."""
-    path = getattr(df, "_exonloom_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["connected_components", "crc_remainder", "cut", "discard", "picked"]
 
 
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
