@@ -25,7 +25,7 @@ from exonloom.llm.labelled import labelled_sample
 from exonloom.llm.shingles import minhashes, shingle_sets
 
 #: Labelled documents that a fit takes at most: of toxic ones, and of clean ones.
-MOST_LABELLED = (4_000, 8_000)
+MOST_LABELLED = (3_000, 6_000)
 #: Minhashes by which near copies in the sample are told.
 MARKS = 16
 #: Prefix lengths, in bytes.
@@ -42,8 +42,8 @@ def words_in(text: str | None) -> set[bytes]:
 
 
 def features_of(word: bytes) -> list[int]:
-    """64-bit hashes of a word's features."""
-    return [xxhash.xxh3_64_intdigest(b"=" + word), *(xxhash.xxh3_64_intdigest(b"^" + word[:n]) for n in PREFIXES if len(word) > n)]
+    """32-bit hashes of a word's features; a few thousand have weights, so that other words hardly ever meet one."""
+    return [xxhash.xxh32_intdigest(b"=" + word), *(xxhash.xxh32_intdigest(b"^" + word[:n]) for n in PREFIXES if len(word) > n)]
 
 
 @dataclass
@@ -72,7 +72,7 @@ def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: flo
     if n.min() == 0:
         return Ordinal()
     seen, at = np.unique(np.concatenate(flat), return_inverse=True)
-    doc = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    doc = np.repeat(np.arange(len(flat), dtype=np.int32), [len(f) for f in flat])
     df = np.array([np.bincount(at[toxic[doc] == k], minlength=len(seen)) for k in (0, 1)], float)
     odds = [np.log((df[k] + 0.5) / (n[k] - df[k] + 0.5)) for k in (0, 1)]
     z = (odds[1] - odds[0]) / np.sqrt(1 / (df[0] + 0.5) + 1 / (df[1] + 0.5))
@@ -115,7 +115,7 @@ def _features_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in words:
                 if w not in known:
                     known[w] = features_of(w)
-            out.append(np.array(sorted({f for w in words for f in known[w]}), np.uint64).tobytes())
+            out.append(np.array(sorted({f for w in words for f in known[w]}), np.uint32).tobytes())
             if len(known) > REMEMBERED:
                 known.clear()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(out, pa.binary())], names=["label", "marks", "features"])
@@ -128,9 +128,9 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """
     sample = labelled_sample(docs, labels, label_col, (most[1], most[0]), id_col, text_col)
     rows = sample.select("label", "text").mapInArrow(_features_in, "label int, marks binary, features binary").collect()
-    rows = sorted((r["label"], bytes(r["marks"]), bytes(r["features"])) for r in rows)
+    rows = sorted((r["label"], bytes(r["marks"]), r["features"]) for r in rows)
     rows = [rows[k] for k in one_of_each([(r[0], r[1]) for r in rows])]
-    return fit([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows], int), grades)
+    return fit([np.frombuffer(r[2], np.uint32) for r in rows], np.array([r[0] for r in rows], int), grades)
 
 
 def one_of_each(marked: list[tuple[int, bytes]]) -> list[int]:
