@@ -32,8 +32,8 @@ def test_query(spark, db, name):
     df = registry.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
-    assert got
     sql = registry.oracle_sql().get(name)
+    assert got or sql  # some thresholds leave nothing at this size
     if sql:
         result = db.execute(sql)
         names = [d[0] for d in result.description]
