@@ -11,6 +11,7 @@ of its context and itself alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,10 +157,11 @@ class Trie:
         return out
 
 
-_BUILT: dict[int, Trie] = {}
+_BUILT: dict[str, Trie] = {}
 
 
-def _built(key: int, levels) -> Trie:
+def _built(key: str, levels) -> Trie:
+    """The trie of a broadcast, built once in a worker; each broadcast has its own key."""
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Trie(levels)
@@ -220,11 +222,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent, times = _arrays(counts.filter(F.col("n") >= often))
     by = np.argsort(frequent)
     everything = often <= 1
-    known = docs.sparkSession.sparkContext.broadcast((trie, frequent[by], times[by]))
+    known = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trie, frequent[by], times[by]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, frequent, times = known.value
-        model, task, rows = _built(id(levels), levels), TaskContext.get().partitionId(), 0
+        key, levels, frequent, times = known.value
+        model, task, rows = _built(key, levels), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], SLICE):
