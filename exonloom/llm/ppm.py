@@ -6,19 +6,19 @@ if that has not led to it, the escape (method D: half a count from each distinct
 shorter context is asked, with the symbols that the longer one had excluded.  What a context has seen, every shorter
 one has seen as well, so the excluded set is always the last context's followers, and its total in the next context
 is one number per context.  The probabilities are those of the pretrained trie, so a byte's cost depends on the gram
-of its context and itself alone.
+of its context and itself alone: every distinct gram of the texts is costed once, by joins of count tables, and the
+texts' bytes look their costs up.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exonloom.llm.common import crc_remainder, cut, discard
@@ -26,8 +26,10 @@ from exonloom.llm.shingles import slices, word_hashes
 
 #: Context bytes at most; a gram, with the byte that follows, fits 64 bits.
 ORDER = 5
-#: Nodes that the trie holds at most: the memory bound of what is broadcast, 12 bytes each.
+#: Grams whose costs are broadcast at most, 16 bytes each; the others' are joined.
 MOST_NODES = 1 << 22
+#: Levels up to this context length are asked in memory: their size is bounded by the alphabet, not by the texts.
+LOW = 2
 #: Words whose counts are broadcast at most, 16 bytes each; the others' are joined.
 MOST_WORDS = 1 << 19
 SLICE = 2_000_000
@@ -68,10 +70,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counted(order: int):
-    """Texts to (kind, key, n): grams (0), words' hashes (1) and texts (2), summed up within the task."""
+    """Texts to (kind, key, n): grams (0), words' hashes (1) and texts (2) of training texts, and grams of held-out
+    ones (3), summed up within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {0: [], 1: [], 3: []}
         docs = 0
 
         def out(kind: int) -> pa.RecordBatch:
@@ -80,17 +83,18 @@ def _counted(order: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            docs += len(texts)
+            texts, apart = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs += apart.count(False)
             for lo, hi in slices([len(t or "") for t in texts], SLICE):
-                streams = [stream_of(t) for t in texts[lo:hi]]
-                for kind, keys in ((0, grams_of(streams, order)[0]), (1, word_hashes(b"".join(streams))[0])):
+                train = [stream_of(t) for t, h in zip(texts[lo:hi], apart[lo:hi]) if not h]
+                other = [stream_of(t) for t, h in zip(texts[lo:hi], apart[lo:hi]) if h]
+                for kind, keys in ((0, grams_of(train, order)[0]), (1, word_hashes(b"".join(train))[0]), (3, grams_of(other, order)[0])):
                     held[kind].append(tuple(x.astype(np.int64) if i else x for i, x in enumerate(np.unique(keys, return_counts=True))))
                     if sum(len(p[0]) for p in held[kind]) > _HELD:
                         held[kind] = [_merged(held[kind])]
                         if len(held[kind][0][0]) > _HELD // 2:
                             yield out(kind)
-        for kind in (0, 1):
+        for kind in held:
             if held[kind]:
                 yield out(kind)
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["kind", "key", "n"])
@@ -111,6 +115,32 @@ class Level:
     below: np.ndarray
 
 
+class Coding:
+    """The costs of grams while contexts are asked, from the longest to the shortest."""
+
+    def __init__(self, size: int):
+        self.out = np.zeros(size)
+        self.todo = np.arange(size)  # grams whose byte isn't coded yet
+        self.excluded = np.zeros(size)  # followers of the last context asked, and what they count in the next
+        self.taken = np.zeros(size)
+
+    def ask(self, known: np.ndarray, hit: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> None:
+        """One context for each gram in ``todo``: whether it is known and has led to the byte, and its numbers."""
+        todo = self.todo
+        fresh, denominator = kinds - self.excluded[todo], total - self.taken[todo]
+        pay = known & (fresh > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = np.log10(np.where(hit, count - 0.5, fresh / 2) / denominator)
+        self.out[todo[pay]] += cost[pay]
+        self.excluded[todo[known]] = kinds[known]
+        self.taken[todo[known]] = below[known]
+        self.todo = todo[~hit]
+
+    def end(self) -> np.ndarray:
+        self.out[self.todo] -= np.log10(256 - self.excluded[self.todo])
+        return self.out
+
+
 class Trie:
     """The levels of contexts, from the empty one to the longest."""
 
@@ -129,43 +159,68 @@ class Trie:
                 below = np.add.reduceat(short.counts[at], first)
             self.levels.append(Level(grams, counts, context[first], total, np.diff(np.append(first, len(grams))).astype(float), below))
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the bytes before it."""
-        out = np.zeros(len(grams))
-        todo = np.arange(len(grams))  # grams whose byte isn't coded yet
-        excluded = np.zeros(len(grams))  # followers of the last context asked, and what they count in the next
-        taken = np.zeros(len(grams))
+    def log10(self, grams: np.ndarray, coding: Coding | None = None) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the bytes before it; ``coding`` has what longer
+        contexts than the trie's have cost."""
+        coding = coding or Coding(len(grams))
         for j in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[j]
+            level, todo = self.levels[j], coding.todo
             if not len(level.grams) or not len(todo):
                 continue
             q = grams[todo] & np.uint64((1 << 8 * (j + 1)) - 1)
             c = np.minimum(np.searchsorted(level.contexts, q >> np.uint64(8)), len(level.contexts) - 1)
             known = level.contexts[c] == q >> np.uint64(8)
             at = np.minimum(np.searchsorted(level.grams, q), len(level.grams) - 1)
-            hit = known & (level.grams[at] == q)
-            fresh = level.kinds[c] - excluded[todo]
-            denominator = level.total[c] - taken[todo]
-            pay = known & (fresh > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.log10(np.where(hit, level.counts[at] - 0.5, fresh / 2) / denominator)
-            out[todo[pay]] += cost[pay]
-            excluded[todo[known]] = level.kinds[c[known]]
-            taken[todo[known]] = level.below[c[known]]
-            todo = todo[~hit]
-        out[todo] -= np.log10(256 - excluded[todo])
-        return out
+            coding.ask(known, known & (level.grams[at] == q), level.counts[at], level.total[c], level.kinds[c], level.below[c])
+        return coding.end()
 
 
-_BUILT: dict[str, Trie] = {}
+def _costs(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """(key, m, cost) for every row of ``grams`` (key, n in training texts, m in all), and the table of shorter grams
+    that it is computed from.
 
+    A gram that training has seen is coded by its longest context.  The others ask one level after the other: what
+    contexts longer than LOW know is joined, the rest is in memory.
+    """
+    low = min(order, LOW)
+    mask = lambda c, j: c if j >= order else c.bitwiseAND((1 << 8 * (j + 1)) - 1)
+    context = lambda c: F.shiftrightunsigned(c, 8)
+    seen = grams.filter("n > 0")
+    levels = {order: seen.select("key", "n")}
+    for j in range(order - 1, -1, -1):
+        levels[j] = levels[j + 1].groupBy(mask(F.col("key"), j).alias("key")).agg(F.sum("n").alias("n"))
+    nodes = [levels[j].select(F.lit(j).alias("level"), "key", "n") for j in range(order - 1, -1, -1)]
+    for more in nodes[1:]:
+        nodes[0] = nodes[0].unionByName(more)
+    nodes = cut(nodes[0])
+    levels |= {j: nodes.filter(F.col("level") == j).select("key", "n") for j in range(order)}
+    known = grams.sparkSession.sparkContext.broadcast(Trie([_arrays(levels[j]) for j in range(low + 1)]))
+
+    first = seen.withColumn("total", F.sum("n").over(Window.partitionBy(context(F.col("key")))))
+    first = first.select("key", "m", F.log10((F.col("n") - 0.5) / F.col("total")).alias("cost"))
+    other = grams.filter("n = 0").select("key", "m")
+    asked = list(range(order, low, -1))
+    for j in asked:
+        own = mask(F.col("key"), j)
+        shorter = levels[j].withColumn("below", F.sum("n").over(Window.partitionBy(mask(F.col("key"), j - 1))))
+        contexts = shorter.groupBy(context(F.col("key")).alias(f"c{j}")).agg(F.sum("n").alias(f"total{j}"), F.count("*").alias(f"kinds{j}"), F.sum("below").alias(f"below{j}"))
+        other = other.join(contexts, context(own) == F.col(f"c{j}"), "left")
+        if j < order:
+            other = other.join(levels[j].select(F.col("key").alias(f"g{j}"), F.col("n").alias(f"n{j}")), own == F.col(f"g{j}"), "left")
+        else:
+            other = other.withColumn(f"n{j}", F.lit(0))
+    numbers = [f"{name}{j}" for j in asked for name in ("n", "total", "kinds", "below")]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, coding = batch.column(0).to_numpy().view(np.uint64), Coding(batch.num_rows)
+            for k, _ in enumerate(asked):
+                n, total, kinds, below = (batch.column(2 + 4 * k + i).to_numpy()[coding.todo].astype(float) for i in range(4))
+                coding.ask(kinds > 0, n > 0, n, total, kinds, below)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known.value.log10(keys, coding))], names=["key", "m", "cost"])
 
-def _built(key: str, levels) -> Trie:
-    """The trie of a broadcast, built once in a worker; each broadcast has its own key."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Trie(levels)
-    return _BUILT[key]
+    other = other.select("key", "m", *(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in numbers))
+    return first.unionByName(other.mapInArrow(coded, "key bigint, m bigint, cost double")), nodes
 
 
 def _bound(counts: DataFrame, most: int) -> int:
@@ -184,7 +239,7 @@ def _bound(counts: DataFrame, most: int) -> int:
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = df.toArrow()
-    return table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    return table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, without: int = 2, order: int = ORDER, most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
@@ -192,8 +247,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts whose crc32(id as text) modulo ``of`` is ``without`` are held out; grams and words of all others are
     counted, in whole, by sums within tasks and then over all.  ``score`` is the log10 probability that the trie
-    gives the text.  The trie holds the grams of every length that are counted at least as often as the count which
-    keeps it to ``most_nodes``; below the bound, that is every gram.  ``base_score`` is add-one over whole words, the
+    gives the text; it holds every counted gram.  The costs of the ``most_nodes`` grams that the texts have most often
+    are broadcast, those of all others are joined, and being rare they gather nowhere.  ``base_score`` is add-one over whole words, the
     end of a text being one; it needs every word's exact count: those of frequent words are broadcast, within
     ``most_words``, those of all others are joined, and being rare they gather nowhere.
 
@@ -202,38 +257,43 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(crc_remainder(F.col(f"`{id_col}`"), of) == without, F.lit(False)).alias("held"))
-    counted = base.filter("not held").select("text").mapInArrow(_counted(order), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    train = F.col("kind") != 3
+    counted = base.select("text", "held").mapInArrow(_counted(order), "kind int, key bigint, n bigint")
+    counted = counted.groupBy(F.when(train, F.col("kind")).otherwise(0).alias("kind"), "key").agg(F.sum(F.when(train, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("m"))
     counted = cut(counted)
     texts, words, distinct = counted.agg(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.count_if(F.col("kind") == 1)).first()
     texts, words = texts or 0, words or 0
     n, v = words + texts, distinct + (texts > 0)
 
-    levels = [counted.filter("kind = 0").select(F.lit(order).alias("level"), "key", "n")]
-    for j in range(order - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (j + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(j).alias("level"), "key", "n"))
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    nodes = cut(nodes)
-    kept = nodes.filter(F.col("n") >= _bound(nodes, most_nodes))
-    trie = [_arrays(kept.filter(F.col("level") == j).select("key", "n")) for j in range(order + 1)]
+    costs, nodes = _costs(counted.filter("kind = 0").select("key", "n", "m"), order)
+    costs = cut(costs)
+    discard(nodes)
+    common = _bound(costs.select(F.col("m").alias("n")), most_nodes)
+    grams, prices = _arrays(costs.filter(F.col("m") >= common).select("key", "cost"))
+    order_of = np.argsort(grams)
+    grams, prices = grams[order_of], prices[order_of]
+    whole = common <= 1
     counts = counted.filter("kind = 1").select("key", "n")
     often = _bound(counts, most_words)
     frequent, times = _arrays(counts.filter(F.col("n") >= often))
     by = np.argsort(frequent)
     everything = often <= 1
-    known = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, trie, frequent[by], times[by]))
+    known = docs.sparkSession.sparkContext.broadcast((grams, prices, frequent[by], times[by]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, levels, frequent, times = known.value
-        model, task, rows = _built(key, levels), TaskContext.get().partitionId(), 0
+        priced, prices, frequent, times = known.value
+        task, rows = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], SLICE):
                 streams = [stream_of(t) for t in texts[lo:hi]]
                 grams, begins = grams_of(streams, order)
                 seen, at = np.unique(grams, return_inverse=True)
-                score = np.add.reduceat(model.log10(seen)[at], begins)
+                place = np.minimum(np.searchsorted(priced, seen), max(len(priced) - 1, 0))
+                found = priced[place] == seen if len(priced) else np.zeros(len(seen), bool)
+                score = np.add.reduceat((np.where(found, prices[place], 0) if len(priced) else np.zeros(len(seen)))[at], begins)
+                other = np.flatnonzero(~found[at])
+                others = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(other, begins), len(other)).astype(np.int32)), pa.array(grams[other].view(np.int64)))
                 hashes, starts = word_hashes(b"".join(streams))
                 first = np.searchsorted(starts, begins)
                 per = np.diff(np.append(first, len(hashes)))
@@ -251,17 +311,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 left = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[rare].view(np.int64)))
                 uid = pa.array((task << 33) + rows + np.arange(hi - lo))
                 rows += hi - lo
-                yield pa.RecordBatch.from_arrays([uid, batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(per + 1), pa.array(hits), pa.array(logs), pa.array(score), left], names=["uid", "id", "held", "n_tokens", "hits", "logs", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([uid, batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(per + 1), pa.array(hits), pa.array(logs), pa.array(score), left, others], names=["uid", "id", "held", "n_tokens", "hits", "logs", "score", "rare", "grams"])
 
     len_texts = texts
-    out = cut(base.select("id", "text", "held").mapInArrow(scored, f"uid bigint, id {kind}, held boolean, n_tokens bigint, hits bigint, logs double, score double, rare array<bigint>"))
-    discard(nodes)
+    out = cut(base.select("id", "text", "held").mapInArrow(scored, f"uid bigint, id {kind}, held boolean, n_tokens bigint, hits bigint, logs double, score double, rare array<bigint>, grams array<bigint>"))
     if not everything:
         left = out.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("times"))
         left = left.join(counts.filter(F.col("n") < often), "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
         out = out.join(left, "uid", "left")
     else:
         out = out.withColumns({"more": F.lit(0.0), "found": F.lit(0)})
+    if not whole:
+        dear = out.select("uid", F.explode("grams").alias("key")).join(costs.filter(F.col("m") < common), "key")
+        out = out.join(dear.groupBy("uid").agg(F.sum("cost").alias("dear")), "uid", "left")
+    else:
+        out = out.withColumn("dear", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
@@ -269,5 +333,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("hits") + F.coalesce("found", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("dear", F.lit(0.0))).alias("score"),
     )

@@ -73,3 +73,20 @@ def test_pruned_trie_still_adds_up_and_empty(docs):
         assert abs(p.sum() - 1) < 1e-9
     assert ppm.score_texts(docs.limit(0)).count() == 0
     assert ppm.score_texts(docs.filter("length(text) < 400"), most_nodes=50).count() > 0
+
+
+def test_rare_grams_count_in_full(docs):
+    """A small broadcast changes no score: grams that it hasn't room for are joined."""
+    short = docs.filter("length(text) < 400 or text is null")
+    whole = sorted(r.score for r in ppm.score_texts(short).collect())
+    for most in (0, 50):
+        assert np.allclose(sorted(r.score for r in ppm.score_texts(short, most_nodes=most).collect()), whole, atol=1e-7)
+
+
+def test_order_five_equals_plain_ppm(spark, docs):
+    short = docs.filter("length(text) < 400 or text is null")
+    rows = short.collect()
+    held = lambda r: r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2
+    train = [ppm.stream_of(r.text) for r in rows if not held(r)]
+    want = sorted(plain_log10(train, ppm.stream_of(r.text), 5) for r in rows)
+    assert np.allclose(sorted(r.score for r in ppm.score_texts(short, most_nodes=200).collect()), want, atol=1e-5)
