@@ -49,5 +49,6 @@ def gsea_preranked(s, d):
 @query("communities")
 def communities(s, d):
     o = A.table(s, d, "orders")
-    edges = o.select((F.col("o_custkey") % 200).alias("a"), (F.col("o_orderkey") % 200).alias("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    x, y = F.col("o_custkey"), F.col("o_orderkey")
+    edges = o.filter(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
     return M.communities(edges)

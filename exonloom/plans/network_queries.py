@@ -81,5 +81,5 @@ def pagerank(s, d):
 
 @query("collapse_core")
 def collapse_core(s, d):
-    t = structures(s, d).select((F.col("gene") % 300).alias("gene"), F.array_join(F.slice("t", 1, 6), "|").alias("structure"), F.size("t").cast("bigint").alias("reads"), (F.col("gene") % 5 == 0).alias("is_ref"))
+    t = structures(s, d).select("gene", F.array_join("t", "|").alias("structure"), F.size("t").cast("bigint").alias("reads"), (F.col("gene") % 5 == 0).alias("is_ref"))
     return S.collapse(t)

@@ -1,5 +1,7 @@
 """Models against their defining equations."""
 
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,3 +65,18 @@ def test_communities(spark):
 def test_prioritised_terms():
     t = pd.DataFrame({"term": ["root", "a", "b", "c"], "p": [0.02, 0.001, 0.01, 0.03], "z": [3.0, 4, 3, 3], "fdr": [0.05] * 4, "k": [5, 5, 5, 2]})
     assert M.prioritised_terms(t, {"a": {"root"}, "b": {"root"}}) == ["a", "b"]
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.001").exists(), reason="the supplied tables are not here")
+def test_reference_queries_take_whole_tables(spark):
+    from exonloom.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.o_custkey, r.o_orderkey) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    got = registry.queries()["communities"](spark, d).collect()
+    assert sorted(r.node for r in got) == sorted({v for a, b in rows if a != b for v in (a, b)})
+    own = {}
+    for gene, k in sorted(rows):
+        own.setdefault(gene, []).append(f"E{k % 9 + 1}.{k % 3 + 1}")
+    got = registry.queries()["collapse_core"](spark, d).collect()
+    assert {(r.gene, r.structure, r.reads) for r in got} == {(g, "|".join(t), len(t)) for g, t in own.items()}
