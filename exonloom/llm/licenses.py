@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is folded to words (A-Z lower-cased; ASCII other than letters and digits separates) and the rules' regular
-expressions look at the words joined by single spaces.  Every rule has a keyword, and a rule is tried only on texts
-that hold its keyword.  Detections are intervals of words; they are taken by priority, longer before shorter, and one
+expressions look at the words joined by single spaces.  Every rule has keywords of which each match holds one, and a
+rule is tried only on texts that hold one of them.  Detections are intervals of words; they are taken by priority, longer before shorter, and one
 that lies inside a taken one of another label is suppressed.
 
 Rules are written by hand per license (names and telling sentences) and multiplied by the ways in which a license is
@@ -24,9 +24,9 @@ from exonloom.llm.toxicity import FOLD
 #: Phrases that are counted wherever their words stand consecutively, with their labels (fixed by the contract).
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: label: (keyword, pattern of the name in folded words)
+#: label: (keywords of which every match holds one, pattern of the name in folded words)
 NAMES = {
-    "0bsd": ("0bsd", r"(?:0bsd|bsd zero clause)"),
+    "0bsd": ("0bsd|bsd zero", r"(?:0bsd|bsd zero clause)"),
     "afl-3.0": ("academic", r"academic free license(?: version)?(?: v? ?3(?: 0)?)?"),
     "agpl-3.0": ("affero", r"(?:gnu )?affero general public license(?: version)?(?: v? ?3(?: 0)?)?"),
     "apache-1.1": ("apache", r"apache(?: software)? license version 1 1"),
@@ -67,10 +67,10 @@ NAMES = {
     "gpl-2.0": ("general", r"(?:gnu )?general public license(?: version)? v? ?2(?: 0)?"),
     "gpl-3.0": ("general", r"(?:gnu )?general public license(?: version)? v? ?3(?: 0)?"),
     "isc": ("isc", r"isc"),
-    "lgpl-2.1": ("lesser", r"(?:gnu )?(?:lesser|library) general public license(?: version)? v? ?2(?: [01])?"),
+    "lgpl-2.1": ("lesser|library", r"(?:gnu )?(?:lesser|library) general public license(?: version)? v? ?2(?: [01])?"),
     "lgpl-3.0": ("lesser", r"(?:gnu )?lesser general public license(?: version)? v? ?3(?: 0)?"),
     "lppl-1.3c": ("latex", r"latex project public license(?: version)?(?: 1 3[abc]?)?"),
-    "mit": ("mit", r"(?:mit|expat|mit x11|x11)"),
+    "mit": ("mit|expat|x11", r"(?:mit|expat|mit x11|x11)"),
     "mit-0": ("attribution", r"mit no attribution"),
     "mpl-1.1": ("mozilla", r"mozilla public license(?: version)? v? ?1 1"),
     "mpl-2.0": ("mozilla", r"mozilla public license(?: version)? v? ?2(?: 0)?"),
@@ -86,7 +86,7 @@ NAMES = {
     "sspl-1.0": ("server", r"server side public license(?: version)?(?: 1)?"),
     "unlicense": ("unlicense", r"unlicense"),
     "upl-1.0": ("universal", r"universal permissive license(?: version)?(?: v? ?1 0)?"),
-    "wtfpl": ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)"),
+    "wtfpl": ("wtfpl|what the fuck", r"(?:wtfpl|do what the fuck you want to public license)"),
     "zlib": ("zlib", r"zlib"),
     "zpl-2.1": ("zope", r"zope public license(?: version)?(?: 2(?: [01])?)?"),
 }
@@ -128,10 +128,10 @@ SENTENCES = [
     ("beerware", 80, 0.95, "beer", r"you can buy me a beer in return"),
     ("json", 80, 0.95, "evil", r"shall be used for good not evil"),
     ("ofl-1.1", 75, 0.9, "reserved", r"with reserved font name"),
-    ("bsl-1.0", 80, 0.9, "boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("bsl-1.0", 80, 0.9, "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
 ]
 #: A text without any of these holds no rule's keyword with a match.
-GATE = (b"licen", b"spdx", b"cc", b"permission", b"redistribut", b"compliance", b"domain", b"reserved", b"confidential", b"warrant", b"gnu", b"apache", b"misrepresented", b"waived", b"beer", b"evil", b"endorse", b"advertising", b"under", b"creative commons", b"unencumbered", b"wtfpl")
+GATE = (b"licen", b"subject to", b"what the fuck", b"spdx", b"cc", b"permission", b"redistribut", b"compliance", b"domain", b"reserved", b"confidential", b"warrant", b"gnu", b"apache", b"misrepresented", b"waived", b"beer", b"evil", b"endorse", b"advertising", b"under", b"creative commons", b"unencumbered", b"wtfpl")
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ class Rule:
     priority: int
     label: str
     score: float
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern[bytes]
 
 
@@ -149,12 +149,13 @@ def rules() -> list[Rule]:
     """All rules, highest priority first, then by label and pattern."""
     out = []
     whole = lambda p: re.compile(rb"(?<= )" + p.encode() + rb"(?= )")
+    several = lambda k: tuple(k.encode().split(b"|"))
     for label, (keyword, name) in NAMES.items():
-        out += [Rule(p, label, s, keyword.encode(), whole(form.format(name))) for p, s, form in REFERENCES]
-        out.append(Rule(90, label, 0.98, b"spdx", whole(r"spdx license identifiers? (?:is )?" + re.sub(r"[.-]", " ", label))))
+        out += [Rule(p, label, s, several(keyword), whole(form.format(name))) for p, s, form in REFERENCES]
+        out.append(Rule(90, label, 0.98, (b"spdx",), whole(r"spdx license identifiers? (?:is )?" + re.sub(r"[.-]", " ", label))))
         if label in BARE:
-            out.append(Rule(45, label, 0.75, keyword.encode(), whole(name)))
-    out += [Rule(p, label, s, keyword.encode(), whole(text)) for label, p, s, keyword, text in SENTENCES]
+            out.append(Rule(45, label, 0.75, several(keyword), whole(name)))
+    out += [Rule(p, label, s, several(keyword), whole(text)) for label, p, s, keyword, text in SENTENCES]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
@@ -170,18 +171,18 @@ class Detection:
 
 
 class Scanner:
-    """Compiled rules, grouped by keyword."""
+    """Compiled rules, grouped by keywords."""
 
     def __init__(self):
-        self.by_keyword: dict[bytes, list[Rule]] = {}
+        self.by_keyword: dict[tuple[bytes, ...], list[Rule]] = {}
         for r in rules():
-            self.by_keyword.setdefault(r.keyword, []).append(r)
+            self.by_keyword.setdefault(r.keywords, []).append(r)
 
     def detections(self, folded: bytes) -> list[Detection]:
         """Kept detections in a text of folded words, each with one space on either side, by place."""
         found = []
-        for keyword, own in self.by_keyword.items():
-            if keyword in folded:
+        for keywords, own in self.by_keyword.items():
+            if any(k in folded for k in keywords):
                 for r in own:
                     for m in r.pattern.finditer(folded):
                         start = folded.count(b" ", 0, m.start()) - 1
@@ -221,13 +222,11 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection]]
     """(number of words, phrase places, detections) of the whole text."""
     folded = (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
     words = folded.split()
-    if not any(g in folded for g in GATE):
+    line = b" " + b" ".join(words) + b" "
+    if not any(g in line for g in GATE):
         return len(words), [], []
     if not _SCANNER:
         _SCANNER.append(Scanner())
-    line = b" " + b" ".join(words) + b" "
-    if not any(k in line for k in _SCANNER[0].by_keyword):
-        return len(words), [], []
     return len(words), places(words), _SCANNER[0].detections(line)
 
 

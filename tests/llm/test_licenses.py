@@ -1,6 +1,8 @@
 """License scans: phrase places against a plain search, rules on lines, suppression."""
 
+import itertools
 import re
+from re import _parser
 
 from exonloom.llm import licenses as L
 
@@ -48,3 +50,46 @@ def test_places_and_digest(spark, docs):
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert L.digest(L.scanned(docs)).count() == docs.count()
     assert L.digest(L.scanned(docs.limit(0))).count() == 0
+
+
+def texts_of(parsed):
+    """A text for every choice of a pattern's alternatives, its optional parts left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])]
+        elif name == "BRANCH":
+            more = [t for way in arg[1] for t in texts_of(way)]
+        elif name == "SUBPATTERN":
+            more = texts_of(arg[3])
+        elif name == "MAX_REPEAT":
+            more = ["".join(c) for c in itertools.product(texts_of(arg[2]), repeat=arg[0])]
+        else:
+            assert name.startswith("ASSERT")
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_passes_gate_and_prefilter():
+    for r in L.rules():
+        for text in texts_of(_parser.parse(r.pattern.pattern)):
+            line = b" " + text.encode() + b" "
+            assert r.pattern.search(line), (r, text)
+            assert any(g in line for g in L.GATE) and any(k in line for k in r.keywords), (r, text)
+
+
+def test_names_without_the_first_keyword():
+    for line, label in {
+        "GNU Library General Public License version 2": "lgpl-2.1",
+        "Expat license": "mit",
+        "X11 license": "mit",
+        "BSD Zero Clause License": "0bsd",
+        "Do What The Fuck You Want To Public License": "wtfpl",
+        "subject to the terms of the zlib": "zlib",
+        "Creative  Commons - Attribution": "cc-by",
+    }.items():
+        assert {d.label for d in L.scan(line)[2]} == {label}, line
