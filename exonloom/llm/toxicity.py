@@ -26,8 +26,8 @@ from exonloom.llm.shingles import minhashes, shingle_sets
 
 #: Labelled documents that a fit takes at most: of toxic ones, and of clean ones.
 MOST_LABELLED = (3_000, 6_000)
-#: Minhashes by which near copies in the sample are told.
-MARKS = 16
+#: Minhashes by which near copies in the sample are told, and how many of them near copies share at least.
+MARKS, SHARED = 16, 12
 #: Prefix lengths, in bytes.
 PREFIXES = (4, 5, 6)
 #: Distinct words whose weights a worker remembers.
@@ -52,6 +52,7 @@ class Ordinal:
 
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rows: tuple[int, int] = (0, 0)  # clean and toxic documents that it was fitted to
 
     def of_word(self, word: bytes) -> tuple[int, ...]:
         """The word's features that have a weight; a text's w . x sums over its words' distinct ones."""
@@ -130,24 +131,22 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = sample.select("label", "text").mapInArrow(_features_in, "label int, marks binary, features binary").collect()
     rows = sorted((r["label"], bytes(r["marks"]), r["features"]) for r in rows)
     rows = [rows[k] for k in one_of_each([(r[0], r[1]) for r in rows])]
-    return fit([np.frombuffer(r[2], np.uint32) for r in rows], np.array([r[0] for r in rows], int), grades)
+    model = fit([np.frombuffer(r[2], np.uint32) for r in rows], np.array([r[0] for r in rows], int), grades)
+    model.rows = tuple(sum(r[0] == k for r in rows) for k in (0, 1))
+    return model
 
 
 def one_of_each(marked: list[tuple[int, bytes]]) -> list[int]:
-    """Of rows that share a minhash, directly or over others, the first."""
-    group, first = list(range(len(marked))), {}
-
-    def top(k: int) -> int:
-        while group[k] != k:
-            group[k] = k = group[group[k]]
-        return k
-
-    for k, (label, marks) in enumerate(marked):
-        for at in range(0, len(marks), 4):
-            j = first.setdefault((label, at, marks[at : at + 4]), k)
-            a, b = top(j), top(k)
-            group[max(a, b)] = min(a, b)
-    return [k for k in range(len(marked)) if top(k) == k]
+    """Of rows of a label that share SHARED or more of their minhashes, directly or over others, the first."""
+    group = np.arange(len(marked))
+    for label in sorted({m[0] for m in marked}):
+        rows = np.array([k for k, m in enumerate(marked) if m[0] == label and m[1]], int)
+        marks = np.array([np.frombuffer(marked[k][1], np.uint32) for k in rows])
+        for i in range(1, len(rows)):
+            near = group[rows[:i][(marks[:i] == marks[i]).sum(1) >= SHARED]]
+            if len(near):
+                group[np.isin(group, near)] = group[rows[i]] = near.min()
+    return np.flatnonzero(group == np.arange(len(marked))).tolist()
 
 
 def severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", at: float = 0.3, keep: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from exonloom.llm import quality, toxicity
+from exonloom.llm.shingles import minhashes, shingle_sets
 
 DATA = pathlib.Path("/root/testdata/sf0.01")
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="the supplied tables are not here")
@@ -64,3 +65,13 @@ def test_log_density_is_the_gaussians(spark):
         assert np.allclose(direct, (((z - m.means[k]) @ m.whiten[k].T) ** 2).sum(1))
         assert np.isclose(np.linalg.slogdet(cov)[1], m.log_det[k])
     assert ((m.score(x) >= 0.5) == y).mean() > 0.95
+
+
+def test_a_shared_passage_is_no_near_copy():
+    rng = np.random.default_rng(4)
+    footer = " ".join(f"footer{k}" for k in range(40))
+    own = [" ".join(f"w{n}" for n in rng.integers(0, 10**6, 120)) for _ in range(60)]
+    texts = [f"{t} {footer}" for t in own] + [f"{t} {footer} edited" for t in own[:10]]
+    marks = [minhashes([s], toxicity.MARKS).tobytes() for s in shingle_sets(texts)]
+    assert toxicity.one_of_each([(1, m) for m in marks]) == list(range(60))
+    assert toxicity.one_of_each([(1, b""), (1, b""), (0, marks[0]), (1, marks[0])]) == [0, 1, 2, 3]
