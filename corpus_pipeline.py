@@ -33,15 +33,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, directly or over others, the one with the smallest id.
 
-    Documents without an id stay, but for copies of one with an id; of rows that repeat an id, one stays.
+    It is decided by row, as ids may be null, which come last, or repeat: at equal ids the text with the smallest hash
+    stays, of equal texts one row.  Different texts of an id stay, and so do rows without words.
     """
-    found = cut(near_duplicates(docs, width=5, percent=80, m=7).select(F.col("doc_id").alias("id"), "kept", F.col("component_id").isNull().alias("alone")))
-    gone = found.filter("id is not null").groupBy("id").agg(F.max("kept").alias("kept")).filter("not kept").select("id")
-    left = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
-    if not found.filter("kept and id is not null").groupBy("id").count().filter("count > 1").isEmpty():
-        with_id = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        left = with_id.unionByName(left.filter("doc_id is null"))
-    return left
+    own = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(own, id_col="_row", width=5, percent=80, m=7).select("_row", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "_row")
+    first = own.select("_row", place.alias("place")).join(found, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return own.join(first.select("place._row"), "_row", "left_semi").drop("_row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,13 @@ def test_stages(spark, tmp_path):
     assert set(left["mixing"]) <= set(kept) and max(left["mixing"].count(d) for d in kept) <= 2
     assert sorted(left["bpe"]) == sorted(left["mixing"])
     assert docs.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1)), (None, words(1)), (None, words(2)), (None, words(2)), (None, words(2) + " more"), (3, words(3)), (3, words(4)), (3, words(3)), (None, words(5)), (9, words(5) + " more"), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.one_of_near_copies(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or " ").split(" ")[0]) for r in out.collect()), key=str)
+    assert got == sorted([(1, "w1x0"), (None, "w2x0"), (3, "w3x0"), (3, "w4x0"), (9, "w5x0"), (4, ""), (None, "")], key=str)
