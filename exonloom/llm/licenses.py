@@ -1,12 +1,13 @@
 """License scans by ordered signature rules.
 
 A text is folded to words (A-Z lower-cased; ASCII other than letters and digits separates) and the rules' regular
-expressions look at the words joined by single spaces.  Every rule has keywords of which each match holds one, and a
-rule is tried only on texts that hold one of them.  Detections are intervals of words; they are taken by priority, longer before shorter, and one
-that lies inside a taken one of another label is suppressed.
+expressions look at the words joined by single spaces.  Every rule has keywords of which each match holds one; one
+pass of an Aho-Corasick automaton finds the keywords of a text, and only their rules are tried.  Detections are
+intervals of words; they are taken by priority, longer before shorter, and one that lies inside a taken one is
+suppressed.
 
-Rules are written by hand per license (names and telling sentences) and multiplied by the ways in which a license is
-referred to, so that their number comes from the tables below.
+There are two kinds of rules: hand-written signatures, the telling sentences of license texts (license_texts.py and
+SENTENCES below), and the names of licenses in the ways in which they are referred to.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exonloom.llm.license_texts import SIGNATURES
 from exonloom.llm.toxicity import FOLD
 
 #: Phrases that are counted wherever their words stand consecutively, with their labels (fixed by the contract).
@@ -130,8 +134,8 @@ SENTENCES = [
     ("ofl-1.1", 75, 0.9, "reserved", r"with reserved font name"),
     ("bsl-1.0", 80, 0.9, "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
 ]
-#: A text without any of these holds no rule's keyword with a match.
-GATE = (b"licen", b"subject to", b"what the fuck", b"spdx", b"cc", b"permission", b"redistribut", b"compliance", b"domain", b"reserved", b"confidential", b"warrant", b"gnu", b"apache", b"misrepresented", b"waived", b"beer", b"evil", b"endorse", b"advertising", b"under", b"creative commons", b"unencumbered", b"wtfpl")
+#: Priority and score of a signature: it tells more than a name, but less than a sentence with a priority of its own.
+SIGNATURE = (78, 0.95)
 
 
 @dataclass(frozen=True)
@@ -145,6 +149,12 @@ class Rule:
     pattern: re.Pattern[bytes]
 
 
+def keyword_of(sentence: str) -> str:
+    """The longest word of a sentence that every match has; the first at a tie."""
+    plain = re.sub(r"\([^()]*\)\??", " ", sentence)
+    return max((w for w in plain.split() if w.isalnum()), key=len)
+
+
 def rules() -> list[Rule]:
     """All rules, highest priority first, then by label and pattern."""
     out = []
@@ -156,6 +166,7 @@ def rules() -> list[Rule]:
         if label in BARE:
             out.append(Rule(45, label, 0.75, several(keyword), whole(name)))
     out += [Rule(p, label, s, several(keyword), whole(text)) for label, p, s, keyword, text in SENTENCES]
+    out += [Rule(SIGNATURE[0], label, SIGNATURE[1], (keyword_of(t).encode(),), whole(t)) for label, own in SIGNATURES.items() for t in own]
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
@@ -170,35 +181,48 @@ class Detection:
     priority: int
 
 
+def taken(found: list[Detection]) -> list[Detection]:
+    """Detections that lie inside no other of a higher priority, or of the same and longer, by place.
+
+    What lies inside a suppressed detection lies inside the one that suppressed it as well, so all are compared with
+    all by running maxima over the sorted intervals, one for each priority.
+    """
+    found = sorted(set(found), key=lambda d: (d.start, -d.end, -d.priority, d.label))
+    end, priority = np.array([d.end for d in found]), np.array([d.priority for d in found])
+    keep = np.ones(len(found), bool)
+    for p in set(priority.tolist()):
+        reach = np.maximum.accumulate(np.where(priority >= p, end, -1))
+        keep[1:] &= (priority[1:] != p) | (reach[:-1] < end[1:])
+    return sorted((found[k] for k in np.flatnonzero(keep)), key=lambda d: (d.start, d.end, d.label))
+
+
 class Scanner:
-    """Compiled rules, grouped by keywords."""
+    """Compiled rules and the automaton of their keywords."""
 
     def __init__(self):
-        self.by_keyword: dict[tuple[bytes, ...], list[Rule]] = {}
-        for r in rules():
-            self.by_keyword.setdefault(r.keywords, []).append(r)
+        self.rules = rules()
+        of: dict[bytes, list[int]] = {}
+        for k, r in enumerate(self.rules):
+            for word in r.keywords:
+                of.setdefault(word, []).append(k)
+        self.words = ahocorasick.Automaton()
+        for word, own in of.items():
+            self.words.add_word(word.decode(), (word, tuple(own)))
+        self.words.make_automaton()
 
     def detections(self, folded: bytes) -> list[Detection]:
         """Kept detections in a text of folded words, each with one space on either side, by place."""
-        found = []
-        for keywords, own in self.by_keyword.items():
-            if any(k in folded for k in keywords):
-                for r in own:
-                    for m in r.pattern.finditer(folded):
-                        start = folded.count(b" ", 0, m.start()) - 1
-                        found.append(Detection(r.label, start, start + 1 + m[0].count(b" "), r.score, r.priority))
-        found.sort(key=lambda d: (-d.priority, d.start - d.end, d.start, d.label))
-        kept: list[Detection] = []
-        reach: dict[int, int] = {}  # kept intervals by start: the farthest end
-        starts: list[int] = []
-        for d in found:
-            inside = any(s <= d.start and d.end <= reach[s] for s in starts)
-            if not inside:
-                kept.append(d)
-                if d.start not in reach:
-                    starts.append(d.start)
-                reach[d.start] = max(reach.get(d.start, 0), d.end)
-        return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+        tried = sorted({k for _, own in {v for _, v in self.words.iter(folded.decode("latin-1"))} for k in own})
+        found, spaces = [], None
+        for k in tried:
+            r = self.rules[k]
+            spans = [m.span() for m in r.pattern.finditer(folded)]
+            if spans:
+                if spaces is None:
+                    spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+                for first, last in np.searchsorted(spaces, spans).tolist():
+                    found.append(Detection(r.label, first - 1, last, r.score, r.priority))
+        return taken(found)
 
 
 def places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -223,8 +247,6 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection]]
     folded = (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
     words = folded.split()
     line = b" " + b" ".join(words) + b" "
-    if not any(g in line for g in GATE):
-        return len(words), [], []
     if not _SCANNER:
         _SCANNER.append(Scanner())
     return len(words), places(words), _SCANNER[0].detections(line)

@@ -1,7 +1,9 @@
 """License scans: phrase places against a plain search, rules on lines, suppression."""
 
 import itertools
+import random
 import re
+import time
 from re import _parser
 
 from exonloom.llm import licenses as L
@@ -28,7 +30,7 @@ LINES = {
 
 
 def test_rules_on_lines():
-    assert len(L.rules()) > 300
+    assert len(L.rules()) > 600 and sum(map(len, L.SIGNATURES.values())) >= 240
     for line, labels in LINES.items():
         assert {d.label for d in L.scan(line)[2]} == labels, line
 
@@ -74,12 +76,12 @@ def texts_of(parsed):
     return out
 
 
-def test_every_alternative_passes_gate_and_prefilter():
+def test_every_alternative_passes_the_prefilter():
     for r in L.rules():
         for text in texts_of(_parser.parse(r.pattern.pattern)):
             line = b" " + text.encode() + b" "
             assert r.pattern.search(line), (r, text)
-            assert any(g in line for g in L.GATE) and any(k in line for k in r.keywords), (r, text)
+            assert any(k in line for k in r.keywords), (r, text)
 
 
 def test_names_without_the_first_keyword():
@@ -93,3 +95,42 @@ def test_names_without_the_first_keyword():
         "Creative  Commons - Attribution": "cc-by",
     }.items():
         assert {d.label for d in L.scan(line)[2]} == {label}, line
+
+
+def test_signatures_are_found_with_their_labels():
+    texts = {
+        "bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "mpl-2.0": "If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "gpl-3.0": "either version 3 of the License, or (at your option) any later version.",
+        "zlib": "3. This notice may not be removed or altered from any source distribution.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "proprietary": "Unauthorized copying of this file, via any medium is strictly prohibited",
+    }
+    for label, text in texts.items():
+        assert label in {d.label for d in L.scan(text)[2]}, label
+
+
+def one_by_one(found):
+    """Detections in the order of the rules; one that lies inside a kept one goes."""
+    kept = []
+    for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end for k in kept):
+            kept.append(d)
+    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+
+
+def test_suppression_equals_all_pairs():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(25)):
+            start = rng.randrange(20)
+            found.append(L.Detection(rng.choice("abcd"), start, start + rng.randrange(1, 8), 0.5, rng.randrange(3)))
+        assert L.taken(found) == one_by_one(found)
+
+
+def test_long_text_full_of_matches():
+    began = time.time()
+    n, base, found = L.scan("released under the MIT license, " * 100_000)
+    assert n == 500_000 and len(base) == 100_000 and len(found) == 100_000
+    assert time.time() - began < 10
