@@ -6,7 +6,11 @@ the largest, over earlier merges (v, w), of |w| plus what w and that merge need
 still follow a token, this bounds the bytes after it that can change it: the list's sufficient lookahead.  So the
 encoder holds a window of the piece, merges it, and emits the tokens that end further than the lookahead before the
 window's end; what comes later can't change them, and the tokens after a boundary are the encoding of the bytes
-after it.  Memory is that of the window, however long a piece is.
+after it.
+
+A text is read in chunks that end where a piece must end, and each chunk's ids go into the hash, the count and the
+decoder before the next chunk is read.  A piece without such an end in reach is fed to the transducer in parts.  So
+beyond the text itself memory is that of a chunk and a window, however long the text or a piece of it is.
 
 Decoding goes id by id: each adds bytes to a UTF-8 state machine that gives text out as soon as it is complete.
 """
@@ -19,6 +23,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -32,8 +37,12 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 LATIN_PIECES = rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces whose ids are remembered; beyond that all are forgotten.
 REMEMBERED = 500_000
-#: Longer pieces are streamed and not remembered.
-LONG = 64
+#: Pieces of up to so many bytes are remembered; the transducer encodes all pieces, short or long.
+SHORT = 64
+#: Characters of a chunk, about, and pieces that are taken at a time where no chunk ends.
+CHUNK, SOME = 1 << 16, 1 << 10
+#: A space after a letter or digit begins a piece, whatever stands around it.
+_BOUNDARY = re.compile(r"(?<=[0-9A-Za-z]) ")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -129,34 +138,57 @@ class Encoder:
     def piece(self, text: str) -> bytes:
         """A piece's ids as little-endian 32-bit words."""
         data = text.encode("utf-8")
-        if len(data) > LONG:
-            return packed(self.stream((data,)))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = self.known[text] = packed(self.merged(data))
+        out = packed(self.stream((data,)))
+        if len(data) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[text] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The whole text's ids as little-endian 32-bit words; special tokens' own strings are those tokens."""
-        if self.marks is None:
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.marks.finditer(text):
-            out += (self._plain(text[at : m.start()]), packed((self.v.special[m[0]],)))
+    def parts(self, text: str) -> Iterator[bytes]:
+        """The whole text's ids as little-endian 32-bit words, chunk by chunk; special tokens' own strings are those tokens."""
+        at = 0
+        for m in self.marks.finditer(text) if self.marks else ():
+            yield from self._plain(text, at, m.start())
+            yield packed((self.v.special[m[0]],))
             at = m.end()
-        return b"".join((*out, self._plain(text[at:] if at else text)))
+        yield from self._plain(text, at, len(text))
 
-    def _plain(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """All of parts() in one."""
+        return b"".join(self.parts(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of text[at:end], which holds no special token; ``at`` is always where a piece begins."""
+        known = self.known
+        while at < end:
+            cut = end
+            if end - at > 2 * CHUNK:
+                m = _BOUNDARY.search(text, at + CHUNK, at + 2 * CHUNK)
+                cut = m.start() if m else 0
+            if cut:
+                found = self._pattern(text[at:cut]).findall(text, at, cut)
+                at = cut
+                try:
+                    yield b"".join(map(known.__getitem__, found))
+                except KeyError:
+                    yield b"".join([known.get(p) or self.piece(p) for p in found])
+                continue
+            for m in islice(self.pieces.finditer(text, at, end), SOME):
+                lo, at = m.span()
+                if at - lo <= SHORT:
+                    yield known.get(m[0]) or self.piece(m[0])
+                else:
+                    ids = self.stream(text[k : min(k + CHUNK, at)].encode("utf-8") for k in range(lo, at, CHUNK))
+                    while some := packed(islice(ids, CHUNK)):
+                        yield some
+
+    def _pattern(self, chunk: str) -> re.Pattern:
         try:
-            text.encode("latin-1")
-            found = self.latin_pieces.findall(text)
+            chunk.encode("latin-1")
+            return self.latin_pieces
         except UnicodeEncodeError:
-            found = self.pieces.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            known = self.known
-            return b"".join([known.get(p) or self.piece(p) for p in found])
+            return self.pieces
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -179,15 +211,34 @@ class Decoder:
         """Text that is complete by now."""
         return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)), last)
 
-    def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
-        """The text of packed ids, in parts of ``step`` tokens."""
+    def decode(self, parts: Iterable[bytes], step: int = 1 << 16) -> Iterator[str]:
+        """The text of packed ids that come in parts, ``step`` tokens at a time."""
         self.state.reset()
-        view = memoryview(ids).cast("I")
-        for at in range(0, len(view), step):
-            yield self.feed(view[at : at + step])
+        for ids in parts:
+            view = memoryview(ids).cast("I")
+            for at in range(0, len(view), step):
+                yield self.feed(view[at : at + step])
         yield self.feed((), True)
 
 
+def digest(encoder: Encoder, decoder: Decoder, text: str, kept: list[bytes] | None = None) -> tuple[int, str, str]:
+    """(number of tokens, hash of the ids, hash of the text that they decode to); ids are added to ``kept`` if it is there."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def passed() -> Iterator[bytes]:
+        nonlocal n
+        for ids in encoder.parts(text):
+            of_ids.update(ids)
+            n += len(ids) // 4
+            if kept is not None:
+                kept.append(ids)
+            yield ids
+
+    for part in decoder.decode(passed()):
+        of_text.update(part.encode("utf-8"))
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 _LOADED: dict[str, tuple[Encoder, Decoder]] = {}
 
 
@@ -213,18 +264,14 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                n, ids_hash, text_hash, kept = [], [], [], []
+                got, tokens = [], []
                 for text in some.column(1):
-                    ids = encoder.encode(text.as_py() or "")
-                    back = hashlib.sha256()
-                    for part in decoder.decode(ids):
-                        back.update(part.encode("utf-8"))
-                    n.append(len(ids) // 4)
-                    ids_hash.append(hashlib.sha256(ids).hexdigest())
-                    text_hash.append(back.hexdigest())
-                    kept.append(ids)
-                cols = [some.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_ids else [])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
+                    kept = [] if with_ids else None
+                    got.append(digest(encoder, decoder, text.as_py() or "", kept))
+                    tokens.append(b"".join(kept or ()))
+                n, of_ids, of_text = zip(*got)
+                cols = [some.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(tokens, pa.binary())] if with_ids else [])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
 
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
