@@ -180,7 +180,7 @@ class Encoder:
                     yield known.get(m[0]) or self.piece(m[0])
                 else:
                     ids = self.stream(text[k : min(k + CHUNK, at)].encode("utf-8") for k in range(lo, at, CHUNK))
-                    while some := packed(islice(ids, CHUNK)):
+                    while some := packed(islice(ids, SOME)):
                         yield some
 
     def _pattern(self, chunk: str) -> re.Pattern:
