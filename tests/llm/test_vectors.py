@@ -86,3 +86,20 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     x = 1 + rng.normal(size=(60, 8)) * 0.02
     df = spark.createDataFrame([(k, x[k].tolist(), 0) for k in range(60)], "vec_id bigint, embedding array<double>, label int")
     assert [(r.n_links, r.component_id) for r in itq.near_duplicates(df).collect()] == [(59, 0)] * 60
+
+
+def test_plan_of_tables_has_no_bound_on_bits():
+    for n in (1, 10**3, 10**6, 10**9, 10**12):
+        bits, tables = itq.plan(n, 0.93)
+        assert n / 2**bits < 1000 and (1 - 0.8803**bits) ** tables <= 0.0051
+
+
+def test_a_pair_at_the_threshold_is_linked_in_any_block(spark):
+    rng = np.random.default_rng(3)
+    at = np.array([0.93, np.sqrt(1 - 0.93**2), 0, 0])
+    exact = float((np.array([1.0, 0, 0, 0]) * at).sum() / np.linalg.norm(at))
+    rows = [(0, [1.0, 0, 0, 0], 0), (1, at.tolist(), 0)] + [(k, rng.normal(size=4).tolist(), 0) for k in range(2, 40)]
+    for n in (2, 7, 40):
+        df = spark.createDataFrame(rows[:n], "vec_id bigint, embedding array<double>, label int")
+        got = {r.vec_id: r for r in itq.near_duplicates(df, cosine=exact).collect()}
+        assert got[0].n_links >= 1 and got[1].component_id == 0
