@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe, reranked exactly.
 
-A table turns unit vectors by three rounds of random signs and a fast Hadamard transform; a vector's cell is the
-signed axis it is nearest to.  A query looks into the ``probes`` cells whose axes it is nearest to, in every table.
-Cells are cut into blocks of bounded size, and a task compares the queries and vectors of one block at a time by a
-matrix product; only each query's best of a block leave it.
+A hash turns unit vectors by three rounds of random signs and a fast Hadamard transform and takes the signed axis that
+a vector is nearest to.  A table's cell is made of several hashes, the last one over fewer axes, so that the number of
+cells follows the square root of the number of vectors; a query's cost grows no faster.  A query looks into the
+``probes`` cells of each table that its turned coordinates come nearest to, by the sum of the squared gaps.
+
+Neighbouring cells, those that agree in their first hashes, are dealt together as a place; a query goes there once,
+with the list of the cells that it probes.  Rows carry vectors of one byte a component, which tell each query's ``KEPT``
+best of a place; these alone are looked up and compared by their original vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +24,14 @@ from pyspark.sql.window import Window
 from exonloom.llm.common import cut
 from exonloom.llm.vectors import matrix, number_type, packed_vectors, runs, usual_dim
 
-#: Vectors and queries of a block at most, on average.
-BLOCK = 2048
+#: Vectors of a block at most, on average, and queries.
+BLOCK = 8192
+#: Vectors of a place, on average, from which on one hash more is dealt by.
+PLACE = 4096
+#: Candidates of a query that a block gives out, and that are compared by their original vectors.
+KEPT = 24
+#: Pairs whose products are held at a time.
+PAIRS = 1 << 16
 
 
 class Rotation:
@@ -45,75 +56,169 @@ class Rotation:
             y /= np.sqrt(self.size)
         return y
 
-    def cells(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """For each row the ``probes`` nearest signed axes, nearest first: axis i, or size + i for its negative."""
-        y = self.turned(x, table)
-        both = np.concatenate((y, -y), 1)
-        probes = min(probes, both.shape[1])
-        return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
+class Cells:
+    """Tables of concatenated hashes for ``n`` vectors."""
+
+    def __init__(self, dim: int, n: int, tables: int, probes: int, seed: int = 7):
+        size = 1 << max(0, (dim - 1).bit_length())
+        full = int(math.log2(2 * size))
+        bits = max(1, round(math.log2(90 * math.sqrt(max(n, 1)))))
+        #: axes of each hash; a hash of m axes has 2 m cells
+        self.axes = [size] * (bits // full) + ([1 << (bits % full - 1)] if bits % full else [])
+        #: hashes that make a place
+        self.dealt = min(len(self.axes) - 1, next(g for g in range(64) if n / (2 * size) ** g <= PLACE))
+        self.dim, self.tables, self.probes = dim, tables, probes
+        self.rotation = Rotation(dim, tables * len(self.axes), seed)
+
+    def _signed(self, x: np.ndarray, table: int, hash_: int) -> np.ndarray:
+        y = self.rotation.turned(x, table * len(self.axes) + hash_)[:, : self.axes[hash_]]
+        return np.concatenate((y, -y), 1)
+
+    def places(self) -> int:
+        return math.prod(2 * m for m in self.axes[: self.dealt])
+
+    def _split(self, code: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        inner = math.prod(2 * m for m in self.axes[self.dealt :])
+        return table * self.places() + code // inner, code % inner
+
+    def own(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, cell in it) of each row."""
+        code = np.zeros(len(x), np.int64)
+        for k, m in enumerate(self.axes):
+            code = code * (2 * m) + self._signed(x, table, k).argmax(1)
+        return self._split(code, table)
+
+    def probed(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, cell in it) of the cells that each row probes: a beam over the hashes, which is exact, as a longer
+        code's gaps are no smaller than its beginning's."""
+        code, gap = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for k, m in enumerate(self.axes):
+            both = self._signed(x, table, k)
+            own = (both.max(1, keepdims=True) - both) ** 2
+            code = (code[:, :, None] * (2 * m) + np.arange(2 * m)).reshape(len(x), -1)
+            gap = (gap[:, :, None] + own[:, None, :]).reshape(len(x), -1)
+            if code.shape[1] > self.probes:
+                best = np.argsort(gap, axis=1, kind="stable")[:, : self.probes]
+                code, gap = np.take_along_axis(code, best, 1), np.take_along_axis(gap, best, 1)
+        return self._split(code, table)
+
+
+def bytes_of(x: np.ndarray) -> np.ndarray:
+    """Rows in one byte a component, scaled by their largest."""
+    return np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+
+
+_ROW = "place bigint, node bigint, query int, v binary, cells binary"
 
-def _placed(rotation: Rotation, kind: str, probes: int, tables: int):
-    """(print, v) to (place: bigint, print, v): a row per table and cell; place = table * cells + cell."""
+
+def _placed(cells: Cells, kind: str, query: int):
+    """(node, v) to a row per table, or for queries per place that they probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                x = matrix(some.column(1), kind, rotation.dim)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                x = matrix(some.column(1), kind, cells.dim)
+                small = [r.tobytes() for r in bytes_of(x)]
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for t in range(tables):
-                    cells = rotation.cells(x, t, probes)
-                    row = np.repeat(np.arange(len(x)), cells.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array((t * 2 * rotation.size + cells).reshape(-1).astype(np.int64)), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], names=["place", "print", "v"])
+                for t in range(cells.tables):
+                    if query:
+                        place, cell = cells.probed(x, t)
+                        by = np.lexsort((cell, place), axis=1)
+                        place, cell = np.take_along_axis(place, by, 1), np.take_along_axis(cell, by, 1)
+                        rows, places, lists = [], [], []
+                        for r in range(len(x)):
+                            first = np.flatnonzero(np.concatenate(([True], place[r][1:] != place[r][:-1])))
+                            rows += [r] * len(first)
+                            places += place[r][first].tolist()
+                            lists += [c.tobytes() for c in np.split(cell[r], first[1:])]
+                    else:
+                        places, cell = cells.own(x, t)
+                        rows, lists = np.arange(len(x)), [c.tobytes() for c in cell]
+                    rows = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), some.column(0).take(rows), pa.array(np.full(len(rows), query, np.int32)), pa.array(small, pa.binary()).take(rows), pa.array(lists, pa.binary())], names=["place", "node", "query", "v", "cells"])
 
     return run
 
 
-def _best(kind: str, dim: int, most: int):
-    """A block's rows (place, i, j, query, print, v) to each query's ``most`` best, with exact cosines."""
+def _best(most: int):
+    """A block's rows (place, i, j, query, node, v, cells) to each query's ``most`` best, by vectors of bytes.  A query
+    without cells looks at all of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, 3):
             is_query = block.column("query").to_numpy().astype(bool)
             if is_query.all() or not is_query.any():
                 continue
-            x, prints = matrix(block.column("v"), kind, dim), block.column("print").combine_chunks()
-            norm = np.linalg.norm(x, axis=1)
-            q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-            near = (x[q] / norm[q, None]) @ (x[c] / norm[c, None]).T
-            n = min(most, len(c))
-            got = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(q), 1))
-            # the product's last bits depend on the block's shape; the score must not
-            score = (x[q][:, None, :] * x[c][got]).sum(2) / (norm[q][:, None] * norm[c][got])
-            yield pa.RecordBatch.from_arrays([prints.take(pa.array(np.repeat(q, n))), prints.take(pa.array(c[got].reshape(-1))), pa.array(score.reshape(-1))], names=["q", "c", "score"])
+            node, cells = block.column("node").to_numpy(), block.column("cells").to_pylist()
+            v = np.frombuffer(b"".join(block.column("v").to_pylist()), np.int8).reshape(block.num_rows, -1)
+            norm = np.linalg.norm(v.astype(np.float32), axis=1)
+            c = np.flatnonzero(~is_query)
+            home = np.frombuffer(b"".join(cells[k] for k in c), np.int64)
+            by = np.argsort(home, kind="stable")
+            c, home = c[by], home[by]
+            out = []
+            for q in np.flatnonzero(is_query).tolist():
+                if cells[q]:
+                    probed = np.frombuffer(cells[q], np.int64)
+                    low, high = np.searchsorted(home, probed), np.searchsorted(home, probed, "right")
+                    size = high - low
+                    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                else:
+                    at = np.arange(len(c))
+                own, own_score = np.zeros(0, np.int64), np.zeros(0)
+                for lo in range(0, len(at), PAIRS):
+                    some = c[at[lo : lo + PAIRS]]
+                    score = (v[some].astype(np.float32) @ v[q].astype(np.float32)).astype(float) / (norm[some] * norm[q])
+                    own, own_score = np.append(own, some), np.append(own_score, score)
+                    if len(own) > most:
+                        keep = np.lexsort((node[own], -own_score))[:most]
+                        own, own_score = own[keep], own_score[keep]
+                out.append((np.full(len(own), node[q]), node[own], own_score))
+            q, found, score = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(found), pa.array(score)], names=["q", "c", "score"])
 
     return run
 
 
-def _found(queries: DataFrame, members: DataFrame, rotation: Rotation, kind: str, probes: int, tables: int, most: int) -> DataFrame:
-    """(q, c, score): for each query print the best ``most`` of what shares a probed cell with it."""
-    schema = "place bigint, print binary, v binary"
-    m = members.select("print", "v").mapInArrow(_placed(rotation, kind, 1, tables), schema)
-    q = queries.select("print", "v").mapInArrow(_placed(rotation, kind, probes, tables), schema)
-    cells = m.groupBy("place").agg(F.count("*").alias("m")).join(q.groupBy("place").agg(F.count("*").alias("q")), "place")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(n)
-    cells = cut(cells.select("place", parts("m"), parts("q")))  # at most tables * cells rows, whatever the input
-    part = lambda n, salt: F.pmod(F.xxhash64("print", F.lit(salt)), F.col(n)).cast("int")
-    m = m.join(F.broadcast(cells), "place").select("place", part("m", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(0).alias("query"), "print", "v")
-    q = q.join(F.broadcast(cells), "place").select("place", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), part("q", 2).alias("j"), F.lit(1).alias("query"), "print", "v")
-    both = m.unionByName(q).repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "query", "print")
-    found = both.mapInArrow(_best(kind, rotation.dim, most), "q binary, c binary, score double")
+def _compared(m: DataFrame, q: DataFrame) -> DataFrame:
+    """(q, c, score) of the best in every place of members ``m`` and queries ``q``; a place with over BLOCK of
+    either is cut into parts, and each part of its members meets each of its queries."""
+    parts = lambda df, name: df.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).filter(F.col(name) > 1)
+    hot = parts(m, "i_parts").join(parts(q, "j_parts"), "place", "full").select("place", *(F.coalesce(c, F.lit(1)).alias(c) for c in ("i_parts", "j_parts")))
+    both = m.unionByName(q).join(hot, "place", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("i_parts", "j_parts")})
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda c: F.array(F.pmod(F.xxhash64("node"), F.col(c)).cast("int"))
+    is_query = F.col("query") == 1
+    both = both.withColumn("i", F.explode(F.when(is_query, every("i_parts")).otherwise(own("i_parts"))))
+    both = both.withColumn("j", F.explode(F.when(is_query, own("j_parts")).otherwise(every("j_parts"))))
+    both = both.select("place", "i", "j", "query", "node", "v", "cells").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "query", "node")
+    found = both.mapInArrow(_best(KEPT), "q bigint, c bigint, score double")
     return found.groupBy("q", "c").agg(F.max("score").alias("score"))
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, tables: int = 12, probes: int = 6) -> DataFrame:
+def _exact(kind: str, dim: int):
+    """(q, c, v, w) to (q, c, score) by the original vectors, sum by sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                x, y = (matrix(some.column(k), kind, dim) for k in (2, 3))
+                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(score)], names=["q", "c", "score"])
+
+    return run
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, tables: int = 12, probes: int = 192) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` vectors of largest cosine found for each query.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own; ties go to the
     smaller id.  Equal vectors are searched for once and looked up together, so a vector that a third of the rows
     hold costs no more than one; of its ids, the top + 1 smallest can be anyone's nearest, and only they go on.
-    A query that finds fewer than ``top`` looks into all cells of one table, which is an exact search.
+    A query that finds fewer than ``top`` is compared with all rows, block by block.
 
     Defined results: vectors that are null, zero, or hold a component that is null or not finite take no part, nor do
     null ids, nor vectors of another than the commonest length.  A repeated id counts once, with the vector whose
@@ -123,28 +228,37 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     packed = packed_vectors(df, id_col, vec_col)
     dim = usual_dim(packed)
     rows = packed.filter((F.col("dim") == dim) & (F.col("dim") > 0) & F.col("vec").isNotNull())
-    rows = cut(rows.groupBy("vec").agg(F.min(F.struct("print", "v")).alias("x")).select("vec", "x.print", "x.v"))
+    rows = rows.groupBy("vec").agg(F.min(F.struct("print", "v")).alias("x")).select("vec", "x.print", "x.v")
+    rows = cut(rows)
     asks = (F.col("vec") % every) == 0
-    place = F.row_number().over(Window.partitionBy("print").orderBy("vec"))
-    low = cut(rows.select("print", "vec").withColumn("place", place).filter(F.col("place") <= top + 1).select("print", "vec"))
-    members = cut(rows.groupBy("print").agg(F.min("v").alias("v"), F.max(asks).alias("asks"), F.min("vec").alias("least")))
-    rotation = Rotation(max(dim, 1), tables)
-    queries = members.filter("asks")
-    found = cut(_found(queries, members, rotation, kind, probes, tables, top + 1))
-
-    ids = rows.filter(asks).select(F.col("vec").alias("query_id"), F.col("print").alias("q"))
-    total = rows.count()
-    short = found.join(low, found["c"] == low["print"]).groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") < min(top + 1, total))
-    short = queries.join(short, queries["print"] == short["q"], "left_semi")
+    # equal vectors are one node, named by their least id
+    members = cut(rows.groupBy("print").agg(F.min("vec").alias("node"), F.min("v").alias("v"), F.max(asks).alias("asks")))
+    ids = rows.select("print", "vec").join(members.select("print", "node"), "print").select("node", "vec")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("vec"))
+    low = cut(ids.withColumn("place", place).filter(F.col("place") <= top + 1).select("node", "vec"))
+    n, total = members.count(), rows.count()
+    cells = Cells(max(dim, 1), n, tables, probes)
+    queries = members.filter("asks").select("node", "v")
+    m = members.select("node", "v").mapInArrow(_placed(cells, kind, 0), _ROW)
+    found = cut(_compared(m, queries.mapInArrow(_placed(cells, kind, 1), _ROW)))
+
+    short = found.join(low.withColumnRenamed("node", "c"), "c").groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") < min(top + 1, total))
+    short = queries.join(short, queries["node"] == short["q"], "left_semi")
     if not short.isEmpty():
-        again = _found(short, members, rotation, kind, 2 * rotation.size, 1, top + 1)
-        found = cut(found.unionByName(again).groupBy("q", "c").agg(F.max("score").alias("score")))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
-    found = found.join(members.select(F.col("print").alias("c"), "least"), "c").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top + 1)
-    wide = found.join(low, found["c"] == low["print"]).select("q", "vec", "score")
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec")
-    wide = wide.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= top + 1).select("q", "vec", "score")
-    pairs = ids.join(wide, "q").filter(F.col("vec") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec"))
-    out = pairs.withColumn("rank", rank).filter(F.col("rank") <= top)
+        blocks = max(1, math.ceil(n / BLOCK))
+        one = Cells(max(dim, 1), 1, 1, 1)
+        of_block = lambda df, c: df.withColumn("place", c)
+        m = of_block(members.select("node", "v").mapInArrow(_placed(one, kind, 0), _ROW), F.pmod(F.xxhash64("node"), F.lit(blocks)))
+        q = of_block(short.mapInArrow(_placed(one, kind, 1), _ROW).dropDuplicates(["node"]).withColumn("cells", F.lit(b"")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        found = cut(found.unionByName(_compared(m, q)).groupBy("q", "c").agg(F.max("score").alias("score")))
+
+    ranked = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *order))
+    found = found.withColumn("place", ranked("q", "c")).filter(F.col("place") <= KEPT).select("q", "c")
+    vectors = lambda name, v: members.select(F.col("node").alias(name), F.col("v").alias(v))
+    found = found.join(vectors("q", "x"), "q").join(vectors("c", "y"), "c").select("q", "c", "x", "y").mapInArrow(_exact(kind, max(dim, 1)), "q bigint, c bigint, score double")
+    found = found.withColumn("place", ranked("q", "c")).filter(F.col("place") <= top + 1)
+    wide = found.join(low.withColumnRenamed("node", "c"), "c").select("q", "vec", "score")
+    wide = wide.withColumn("place", ranked("q", "vec")).filter(F.col("place") <= top + 1).select("q", "vec", "score")
+    pairs = ids.filter(asks).select(F.col("vec").alias("query_id"), F.col("node").alias("q")).join(wide, "q").filter(F.col("vec") != F.col("query_id"))
+    out = pairs.withColumn("rank", ranked("query_id", "vec")).filter(F.col("rank") <= top)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")

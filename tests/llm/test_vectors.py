@@ -96,10 +96,35 @@ def test_plan_of_tables_has_no_bound_on_bits():
 
 def test_a_pair_at_the_threshold_is_linked_in_any_block(spark):
     rng = np.random.default_rng(3)
-    at = np.array([0.93, np.sqrt(1 - 0.93**2), 0, 0])
-    exact = float((np.array([1.0, 0, 0, 0]) * at).sum() / np.linalg.norm(at))
-    rows = [(0, [1.0, 0, 0, 0], 0), (1, at.tolist(), 0)] + [(k, rng.normal(size=4).tolist(), 0) for k in range(2, 40)]
+    at = np.array([0.93, np.sqrt(1 - 0.93**2), 0.0, 0.0])
+    exact = float((np.array([1.0, 0.0, 0.0, 0.0]) * at).sum() / np.linalg.norm(at))
+    rows = [(0, [1.0, 0.0, 0.0, 0.0], 0), (1, at.tolist(), 0)] + [(k, rng.normal(size=4).tolist(), 0) for k in range(2, 40)]
     for n in (2, 7, 40):
         df = spark.createDataFrame(rows[:n], "vec_id bigint, embedding array<double>, label int")
         got = {r.vec_id: r for r in itq.near_duplicates(df, cosine=exact).collect()}
         assert got[0].n_links >= 1 and got[1].component_id == 0
+
+
+def test_many_vectors_of_one_direction_tie_by_id(spark):
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=8)
+    rows = [(k, (one * 2.0 ** (k % 60)).tolist()) for k in range(1, 61)] + [(100 + k, rng.normal(size=8).tolist()) for k in range(200)]
+    got = cross_polytope.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).filter("query_id = 50")
+    assert sorted((r["rank"], r.vec_id) for r in got.collect()) == [(k, k) for k in range(1, 6)]
+
+
+def test_places_and_probes_agree():
+    """A vector's own cell is the first that it probes; probed cells are the best of all by the sum of gaps."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in (10, 3_000, 200_000):
+        cells = cross_polytope.Cells(6, n, 2, 40)
+        for t in range(2):
+            own = cells.own(x, t)
+            probed = cells.probed(x, t)
+            assert all((probed[0][:, 0] == own[0]) & (probed[1][:, 0] == own[1]))
+            gaps = [np.sort((y.max(1, keepdims=True) - y) ** 2, 1) for y in (cells._signed(x, t, k) for k in range(len(cells.axes)))]
+            assert len(gaps) == len(cells.axes) and probed[0].shape == (20, min(40, np.prod([2 * m for m in cells.axes])))
+            for r in range(20):
+                assert len(set(zip(probed[0][r], probed[1][r]))) == probed[0].shape[1]
