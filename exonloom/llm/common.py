@@ -20,12 +20,13 @@ def crc_remainder(column: Column, by: int) -> Column:
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(by)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): for every node of ``edges`` (a, b: bigint) the smallest node that it can reach.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) on tables in the shared folder. Each step is a
     minimum per node, combined before the shuffle, joined back to the edges by a join that adaptive execution can
-    split, so a node with very many neighbours is no task's whole burden.
+    split, so a node with very many neighbours is no task's whole burden.  Rounds go on until nothing changes; if
+    that takes over ``most_rounds``, far more than the logarithm of any number of nodes, it is an error.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     before = None
@@ -45,6 +46,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -18,12 +18,13 @@ Links are found in two rounds, neither of which lists all pairs of a bucket:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.llm.common import connected_components, cut, discard, picked
@@ -90,6 +91,84 @@ def _confirm(percent: int):
     return run
 
 
+def least_agreement(n: int, percent: int, missed: float = 1e-4) -> int:
+    """How many of ``n`` minhashes a pair of similarity ``percent`` / 100 or more shares, but for a part ``missed``."""
+    p, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > missed:
+            return k
+    return n
+
+
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _reaches(f: Column, g: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of sizes x and y that share at most the smaller of f and g elements can be similar enough."""
+    return F.least(f, g) * (100 + percent) >= (x + y) * percent
+
+
+def _side(df: DataFrame, s: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
+
+
+def _buckets(nodes: DataFrame, m: int, r: int) -> DataFrame:
+    """(key, table, node, n, lead, lead_n): the members of every bucket that holds several, with its least member."""
+    part = lambda lo: F.slice("mh", lo + 1, r)
+    tables = F.array(*(F.xxhash64(F.lit(i), F.lit(j), part(i * r), part((m + j) * r)) for i in range(m) for j in range(m)))
+    keys = nodes.select("node", "n", F.posexplode(tables).alias("table", "key"))
+    lead = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).filter("lead.node < top")
+    return cut(keys.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key"))
+
+
+def _undecided(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, table, node, n, component, main): members of buckets that hold several components; main is the largest."""
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    placed = buckets.select("key", "table", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(sizes, "component", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    placed = cut(placed)
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("members", "component")).alias("main")).filter("low < high")
+    out = cut(placed.drop("members").join(several.select("key", F.col("main.component").alias("main")), "key"))
+    discard(placed)
+    return out
+
+
+def _late_pairs(undecided: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, m: int, r: int) -> DataFrame:
+    """(a, b): pairs of different components in a bucket that counting doesn't rule out."""
+    c = F.col
+    members = undecided.select("node").distinct()
+    elements = cut(sets.join(members, "node", "left_semi").mapInArrow(_exploded, "node bigint, element bigint"))
+    often = elements.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+    held = cut(elements.join(often, "element"))
+    discard(elements)
+    # f1: elements that another set has as well; f: those that are frequent
+    counts = held.groupBy("node").agg(F.count("*").alias("f1"), F.count_if(c("df") > RARE).alias("f"))
+    enough = lambda f: c(f) * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent
+    rows = cut(undecided.join(nodes.select("node", "mh"), "node").join(counts, "node").filter(enough("f1")))
+
+    # sets that may share enough frequent elements meet in their buckets; a pair is taken up in the first table that
+    # it shares, so that it comes out once
+    dense = rows.filter(enough("f"))
+    same = F.zip_with("mh_x", "mh_y", lambda p, q: p == q)
+    agreed = lambda base: F.array_position(F.array(*(F.forall(F.slice(same, base + 1 + k * r, r), lambda v: v) for k in range(m))), True)
+    first = (agreed(0) - 1) * m + agreed(m * r) - 1 == c("table_x")
+    near = F.size(F.filter(same, lambda v: v)) >= least_agreement(2 * m * r, percent)
+    apart = (c("component_x") != c("component_y")) & _fits(c("n_x"), c("n_y"), percent)
+    bound = _reaches(c("f_x"), c("f_y"), c("n_x"), c("n_y"), percent)
+    through_keys = _side(dense.filter("component != main"), "x").join(_side(dense, "y"), (c("key_x") == c("key_y")) & apart & bound & first & near)
+
+    # the others meet on a rare element that both hold
+    rare = held.filter(c("df") <= RARE).join(rows.select("node", "component", "n", "f1").distinct(), "node")
+    bound = _reaches(c("f1_x"), c("f1_y"), c("n_x"), c("n_y"), percent)
+    through_rare = _side(rare, "x").join(_side(rare, "y"), (c("element_x") == c("element_y")) & (c("node_x") > c("node_y")) & apart & bound)
+
+    ends = [F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")]
+    return through_keys.select(*ends).unionByName(through_rare.select(*ends)).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, m: int = 6, r: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -102,57 +181,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row with a null id joins its copies' component, takes part in no other link, and is kept if that has no id.
     An empty table gives an empty result.  Other columns of ``docs`` are not looked at.
     """
+    c = F.col
     base = picked(docs, doc=F.col(f"`{id_col}`").cast("bigint"), text=text_col)
     sigs = cut(base.mapInArrow(_sketches(width, m, r), "doc bigint, n bigint, print binary, mh array<int>"))
     classes = cut(sigs.filter("n > 0").groupBy("print").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.min("mh").alias("mh")))
     nodes = classes.filter("node is not null").select("node", "n", "mh")
-    part = lambda lo: F.slice("mh", lo + 1, r)
-    keys = nodes.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), part(i * r), part((m + j) * r)) for i in range(m) for j in range(m)))).alias("table", "key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).filter("lead.node < top").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    buckets = cut(keys.join(shared, "key"))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = buckets.filter(F.col("node") != F.col("lead")).filter(fits(F.col("n"), F.col("lead_n"))).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-
+    buckets = _buckets(nodes, m, r)
     wanted = buckets.select("node").distinct()
     texts = base.join(wanted, base.doc == wanted.node, "left_semi").select("doc", "text")
     sets = cut(texts.mapInArrow(_sets(width), "node bigint, elements binary"))
-    links = cut(_confirmed(star, nodes, sets, percent, m * r))
-    found = connected_components(links)
 
-    # round 2
-    placed = buckets.select("key", "table", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    placed = cut(placed.join(sizes, "component", "left").withColumn("members", F.coalesce("members", F.lit(1))))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max(F.struct("members", "component")).alias("main"), F.max("component").alias("high")).filter("low < high").select("key", F.col("main.component").alias("main"))
-    open_ = placed.drop("members").join(mixed, "key")
-    members = open_.select("node", "component", "n").distinct()
-    elements = cut(sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_exploded, "node bigint, element bigint"))
-    often = elements.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
-    held = cut(elements.join(often, "element"))
-    counts = held.groupBy("node").agg(F.count("*").alias("f1"), F.count_if(F.col("df") > RARE).alias("f"))
-    reaches = lambda f, g, x, y: F.least(f, g) * (100 + percent) >= (x + y) * percent
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
-    c = F.col
-    rows = cut(open_.join(nodes.select("node", "mh"), "node").join(counts, "node").filter((c("f1") * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent)))
-    dense = rows.filter(c("f") * (100 + percent) >= c("n") * (F.lit(1) + percent / 100) * percent)
-    minor, every = side(dense.filter("component != main"), "x"), side(dense, "y")
-    # a pair is taken up in the first table that it shares, so that it comes out once
-    same = F.zip_with("mh_x", "mh_y", lambda p, q: p == q)
-    agreed = lambda base: F.array_position(F.array(*(F.forall(F.slice(same, base + 1 + k * r, r), lambda v: v) for k in range(m))), True)
-    first = ((agreed(0) - 1) * m + agreed(m * r) - 1 == c("table_x")) & (F.size(F.filter(same, lambda v: v)) >= m * r)
-    through_keys = minor.join(every, (c("key_x") == c("key_y")) & (c("component_x") != c("component_y")) & fits(c("n_x"), c("n_y")) & reaches(c("f_x"), c("f_y"), c("n_x"), c("n_y")) & first)
-    rare = held.filter(c("df") <= RARE).join(rows.select("node", "component", "n", "f1").distinct(), "node")
-    through_rare = side(rare, "x").join(side(rare, "y"), (c("element_x") == c("element_y")) & (c("node_x") > c("node_y")) & (c("component_x") != c("component_y")) & fits(c("n_x"), c("n_y")) & reaches(c("f1_x"), c("f1_y"), c("n_x"), c("n_y")))
-    ends = [F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")]
-    more = through_keys.select(*ends).unionByName(through_rare.select(*ends)).distinct()
-    late = cut(_confirmed(more, nodes, sets, percent, m * r))
-    if late.isEmpty():
-        final = found
-    else:
-        final = connected_components(found.select(c("node").alias("a"), c("component").alias("b")).unionByName(late))
-    homes = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    for t in (buckets, placed, elements, held, rows, sets):
+    # round 1: every set with the least of each of its buckets
+    star = buckets.filter(c("node") != c("lead")).filter(_fits(c("n"), c("lead_n"), percent))
+    star = star.select(c("node").alias("a"), c("lead").alias("b")).distinct()
+    links = _confirmed(star, nodes, sets, percent, 2 * m * r)
+    final = found = connected_components(links)
+
+    # round 2: what is left of buckets with several components
+    undecided = _undecided(buckets, found)
+    if not undecided.isEmpty():
+        late = _confirmed(_late_pairs(undecided, nodes, sets, percent, m, r), nodes, sets, percent, 2 * m * r)
+        if not late.isEmpty():
+            final = connected_components(found.select(c("node").alias("a"), c("component").alias("b")).unionByName(late))
+    for t in (buckets, sets, links, undecided):
         discard(t)
+    homes = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = sigs.select("doc", "n", "print").join(homes, "print", "left").withColumn("component_id", F.when(c("n") > 0, c("component")).otherwise(c("doc")))
     return out.select(c("doc").alias(id_col), c("n").alias("n_shingles"), "component_id", c("doc").eqNullSafe(c("component_id")).alias("kept"))
 
@@ -165,11 +218,13 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets))], names=["node", "element"])
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, half: int) -> DataFrame:
-    """Of (a, b), those whose full sets pass.  Pairs that agree in under half of their minima are passed over first:
-    at the similarity asked for, 0.8 or more, fewer than one pair in 1,000 has so few."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Of (a, b), those whose full sets pass.  Pairs that agree in fewer of their ``n`` minima than all but one in
+    10,000 pairs of the wanted similarity do are passed over first."""
     x, y = (nodes.select(F.col("node").alias(k), F.col("mh").alias(f"mh_{k}")) for k in "ab")
     agree = F.aggregate(F.zip_with("mh_a", "mh_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    pairs = cut(pairs.join(x, "a").join(y, "b").filter(agree >= half).select("a", "b"))
+    pairs = cut(pairs.join(x, "a").join(y, "b").filter(agree >= least_agreement(n, percent)).select("a", "b"))
     s, t = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(s, "a").join(t, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    out = cut(pairs.join(s, "a").join(t, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a bigint, b bigint"))
+    discard(pairs)
+    return out

@@ -1,8 +1,10 @@
 """Near-dedup against all pairs."""
 
+import pathlib
+
 import pytest
 
-from exonloom.llm.minhash_dedup import near_duplicates
+from exonloom.llm.minhash_dedup import least_agreement, near_duplicates
 
 
 def shingles(text, width):
@@ -34,13 +36,54 @@ def brute(rows, width, percent):
     return out
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_equals_all_pairs(docs, width, percent):
+@pytest.mark.parametrize("width,percent,m", [(3, 85, 6), (5, 80, 7)])
+def test_equals_all_pairs(docs, width, percent, m):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = [tuple(r) for r in near_duplicates(docs, width=width, percent=percent, m=8).collect()]
+    got = [tuple(r) for r in near_duplicates(docs, width=width, percent=percent, m=m).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, width, percent), key=str)
     assert any(r[0] != r[2] for r in got)
 
 
 def test_empty_table(docs):
     assert near_duplicates(docs.limit(0), width=3, percent=85).count() == 0
+
+
+def test_bound_of_agreement():
+    assert least_agreement(24, 85) <= 14 and least_agreement(28, 80) <= 15
+    assert least_agreement(24, 30) <= 1  # for low similarities nothing is passed over
+    assert least_agreement(10, 100) == 10
+
+
+SF = pathlib.Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the supplied tables are not here")
+@pytest.mark.parametrize("width,percent,m", [(3, 85, 6), (5, 80, 7)])
+def test_recall_on_the_supplied_documents(spark, width, percent, m):
+    """The query's and the pipeline's parameters find every component of all pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    holders, sets = {}, [shingles(t, width) for _, t in rows]
+    pairs = set()
+    for k, s in enumerate(sets):  # only sets that share a shingle can be similar
+        near = set()
+        for x in s:
+            near.update(holders.setdefault(x, []))
+            holders[x].append(k)
+        pairs |= {(j, k) for j in near if 100 * len(sets[j] & s) >= percent * len(sets[j] | s)}
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, j in pairs:
+        a, b = top(i), top(j)
+        up[max(a, b)] = min(a, b)
+    low = {}
+    for k, (doc, _) in enumerate(rows):
+        low[top(k)] = min(low.get(top(k), doc), doc)
+    want = {doc: low[top(k)] for k, (doc, _) in enumerate(rows)}
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=width, percent=percent, m=m).collect()}
+    assert len(pairs) > 20 and got == want
