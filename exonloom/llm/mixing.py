@@ -31,7 +31,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry:
         F.col(f"`{id_col}`").alias("doc"),
         F.col(f"`{source_col}`").alias("source"),
         F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")).alias("key"),
     ]
     return docs.select(*cols, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
 
@@ -75,9 +75,9 @@ def mix_sources(
     down, and only the document at which the last pass stops is taken in part.  ``positions`` has the time at which
     each pass that takes words of the row begins it.  ``row`` holds the input row if ``carry``.
 
-    Defined results: a null or empty text has size 0 and nothing taken; null sources are one source, the last; null
-    ids share one place in the shuffled order, ties there go by id and size, so that reruns agree and repeated rows,
-    which stand side by side, each count.  An empty table gives an empty result.
+    Defined results: a null or empty text has size 0 and nothing taken; null sources are one source, the last.  The
+    shuffled order is that of the ids' hashes, for null ids of their texts'; ties there go by id and size, so that
+    reruns agree and repeated rows, which stand side by side, each count.  An empty table gives an empty result.
     """
     narrow = cut(_keyed(docs, id_col, text_col, source_col, False))
     targets = cut(source_targets(narrow, weights, share, repeats, tilts))
@@ -100,15 +100,17 @@ def mix_sources(
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """The rows of mix_sources(carry=True), one for each pass that takes them, range-sorted by position."""
-    passes = mixed.select("row", F.explode("positions").alias("position"))
-    return passes.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+    """The rows of mix_sources(carry=True), one for each pass that takes them, range-sorted by position, then by id and
+    size.  A row that a pass takes in part is there as a whole.  Written to files, these and their rows are in order."""
+    order = ["position", "doc", "size"]
+    passes = mixed.select("row", "doc", "size", F.explode("positions").alias("position"))
+    return passes.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
