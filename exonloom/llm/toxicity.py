@@ -5,8 +5,11 @@ is the expected severity, the sum of those probabilities.  Features are the dist
 letters and digits and of all non-ASCII characters, A-Z lower-cased) and their prefixes of 4 to 6 bytes, which carry
 over to inflected and coined forms.
 
-Labels that say only toxic or not are turned into grades: 0 for clean, and for toxic documents 1 to ``grades`` by how
-many of their words carry a feature that toxic documents have significantly more often.
+The labels say only toxic or not; nothing in the tables grades toxic documents.  The first threshold is fitted to the
+labels.  For the higher ones, words fall into two halves by a hash of their first bytes, so that no feature is in both:
+a toxic document's grade from 1 to ``grades`` is told by how many telling words of one half it has, and predicted from
+its words of the other half alone, both ways round.  So what a higher grade means is "more such vocabulary of another
+kind as well", never a count of the very features that predict it; it is still vocabulary, and no judgement of a person.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ MOST_LABELLED = (3_000, 6_000)
 MARKS, SHARED = 16, 12
 #: Prefix lengths, in bytes.
 PREFIXES = (4, 5, 6)
+#: What a row of the fit about a higher grade weighs, against one about a label: the labels are the evidence.
+GRADES_WEIGH = 0.01
 #: Distinct words whose weights a worker remembers.
 REMEMBERED = 400_000
 #: A-Z to a-z; ASCII that is neither letter nor digit to space; all else as it is.
@@ -42,8 +47,10 @@ def words_in(text: str | None) -> set[bytes]:
 
 
 def features_of(word: bytes) -> list[int]:
-    """32-bit hashes of a word's features; a few thousand have weights, so that other words hardly ever meet one."""
-    return [xxhash.xxh32_intdigest(b"=" + word), *(xxhash.xxh32_intdigest(b"^" + word[:n]) for n in PREFIXES if len(word) > n)]
+    """32-bit hashes of a word's features; a few thousand have weights, so that other words hardly ever meet one.  The
+    last bit is the half that words of these first bytes belong to."""
+    half = xxhash.xxh32_intdigest(word[: PREFIXES[0]], 5) & 1
+    return [h & ~1 | half for h in (xxhash.xxh32_intdigest(b"=" + word), *(xxhash.xxh32_intdigest(b"^" + word[:n]) for n in PREFIXES if len(word) > n))]
 
 
 @dataclass
@@ -63,7 +70,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -40, 40)))
 
 
-def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: float = 3.3, least_lift: float = 2.0, ridge: float = 0.002, steps: int = 4000) -> Ordinal:
+def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: float = 3.3, least_lift: float = 2.0, ridge: float = 0.0007, steps: int = 4000) -> Ordinal:
     """``flat``: for each document its distinct features.  Full-batch Adam on the penalised likelihood.
 
     Features count if their log odds in toxic documents are ``least_lift`` above those in clean ones, and ``least_z``
@@ -83,25 +90,42 @@ def fit(flat: list[np.ndarray], toxic: np.ndarray, grades: int = 3, least_z: flo
     place = {int(f): k for k, f in enumerate(seen[keep])}
     column = np.cumsum(keep) - 1
     doc, col = doc[keep[at]], column[at[keep[at]]]
-    marked = np.bincount(doc, minlength=len(flat))
-    cuts = np.quantile(marked[toxic == 1], [k / grades for k in range(1, grades)])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, marked, side="left"), 0)
-    levels = [k for k in range(grades) if 0 < (grade > k).sum() < len(grade)]
-
-    above = np.array([(grade > k) for k in levels], float)  # level x document
-    w, t = np.zeros(len(place)), np.linspace(2.0, 4.0, len(levels))
-    state = [np.zeros(len(place) + len(levels)) for _ in range(2)]
+    half = (seen[keep] & 1)[col].astype(int)
+    n_docs, ill = len(flat), toxic == 1
+    # rows of the fit: all of a document's features against its label, then each half's against the other half's grade
+    row, times = [doc], [np.ones(n_docs)]
+    above = [ill.astype(float)]
+    level = [np.zeros(n_docs, int)]
+    for own in (0, 1):
+        marked = np.bincount(doc[half != own], minlength=n_docs)
+        cuts = np.quantile(marked[ill], [k / grades for k in range(1, grades)])
+        grade = np.where(ill, 1 + np.searchsorted(cuts, marked, side="left"), 0)
+        for k in range(1, grades):
+            if 0 < (grade > k).sum() < n_docs:
+                row.append(np.where(half == own, doc + n_docs * len(row), -1))
+                times.append(np.full(n_docs, 2.0))  # a half has half of the score
+                above.append((grade > k).astype(float))
+                level.append(np.full(n_docs, k))
+    held = [np.flatnonzero(r >= 0) for r in row]
+    row, col = np.concatenate([r[h] for r, h in zip(row, held)]), np.concatenate([col[h] for h in held])
+    times, above, level = (np.concatenate(x) for x in (times, above, level))
+    weight = np.where(level == 0, 1.0, GRADES_WEIGH)
+    used = np.unique(level)
+    level = np.searchsorted(used, level)
+
+    w, t = np.zeros(len(place)), np.linspace(2.0, 4.0, len(used))
+    state = [np.zeros(len(place) + len(used)) for _ in range(2)]
     for step in range(1, steps + 1):
-        score = np.bincount(doc, w[col], len(flat))
-        p = 1 / (1 + np.exp(-np.clip(score[None] - t[:, None], -40, 40)))
-        # binary cumulative links, all with the same w; the thresholds stay in order, as above[k] >= above[k + 1]
-        off = (p - above) / len(flat)
-        g = np.concatenate((np.bincount(col, off.sum(0)[doc], len(place)) + ridge * w / len(flat), -off.sum(1)))
+        score = times * np.bincount(row, w[col], len(above))
+        p = 1 / (1 + np.exp(-np.clip(score - t[level], -40, 40)))
+        # binary cumulative links, all with the same w
+        off = (p - above) * weight / n_docs
+        g = np.concatenate((np.bincount(col, (off * times)[row], len(place)) + ridge * w / n_docs, -np.bincount(level, off, len(used))))
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-10)
         w, t = np.maximum(w - move[: len(w)], 0), t - move[len(w) :]  # a feature that toxic texts have more of is no plea for the rest
-    return Ordinal({f: float(w[k]) for f, k in place.items() if w[k] > 1e-3}, np.sort(t))
+    return Ordinal({f: float(w[k]) for f, k in place.items() if w[k] > 1e-3}, np.maximum.accumulate(t))
 
 
 def _features_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
