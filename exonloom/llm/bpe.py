@@ -22,12 +22,12 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary's format).
@@ -250,14 +250,17 @@ def loaded(file: str) -> tuple[Encoder, Decoder]:
     return _LOADED[file]
 
 
-def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, token_ids: binary]) for every row of ``docs``; no shuffle.
+def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, carry: Sequence[Column] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, token_ids: binary][, carry...]) for every row of ``docs``; no shuffle.
 
     Whole texts are encoded and the ids decoded again.  A null or empty text has no tokens and the hashes of nothing.
     Ids of rows may be null or repeat; each row is on its own.  ``file`` must be readable on the executors.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carry)
+    own = [f.name for f in base.schema.fields[2:]]
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * with_ids
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in base.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = loaded(file)
@@ -271,7 +274,7 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
                     tokens.append(b"".join(kept or ()))
                 n, of_ids, of_text = zip(*got)
                 cols = [some.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(tokens, pa.binary())] if with_ids else [])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
+                cols += [pa.array(tokens, pa.binary())] * with_ids + some.columns[2:]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids, *own])
 
-    out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
-    return out.withColumnRenamed("id", id_col)
+    return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
