@@ -32,8 +32,9 @@ MOST_NODES = 1 << 22
 LOW = 2
 #: Words whose counts are broadcast at most, 16 bytes each; the others' are joined.
 MOST_WORDS = 1 << 19
-SLICE = 2_000_000
-_HELD = 3_000_000
+#: Bytes of text that are worked on at a time, and counts that a task holds of a kind.
+SLICE = 1_000_000
+_HELD = 1_500_000
 
 
 def stream_of(text: str | None) -> bytes:
