@@ -1,12 +1,19 @@
 """From raw documents to training tokens: quality, toxicity, near-dedup, mixing and BPE, each over all that is left.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``.  The mix's training order is that of the files and rows that its
+stage writes; the last stage turns it into a column, ``position``.
+
+Defined results of odd rows: ids may be null or repeat and each row is judged by its own text; a null or empty text is
+judged as a text without words by the classifiers, is linked with nothing, and is never taken by the mix; a null source
+is a source of its own; further columns of ``documents`` go through to the mix's output.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exonloom.llm import bpe, mixing, quality, toxicity
@@ -20,13 +27,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose probability of label 1 is 0.7 or more."""
+    """The documents whose probability of label 1 is 0.7 or more; without labels of both kinds, all."""
     model = quality.fitted(docs, _labels(spark, sf_dir), where=quality.training_rows(4, 2))
     return quality.scored(docs, model, keep=True)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of severity grade 0."""
+    """The documents of severity grade 0; without labels of both kinds, all."""
     return toxicity.severity(docs, toxicity.fitted(docs, _labels(spark, sf_dir)), keep=True)
 
 
@@ -44,13 +51,24 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in training order."""
+    """The documents as often as the mix takes them, in training order; one that a pass takes in part is there as a whole."""
     return mixing.training_order(mixing.mix_sources(docs, carry=True))
 
 
+def written_order(docs: DataFrame) -> Column:
+    """A number that ascends over the rows as they were written: the file's place, then the row's in its file; null
+    for a table that isn't read from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return F.lit(None).cast("bigint")
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint")
+    return F.shiftleft(file, 36) + F.col("_metadata.row_index")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, with their hash and that of the text they decode to."""
-    return bpe.encoded(docs, vocabulary_file())
+    """Each document's token ids, with their hash, that of the text they decode to, and its position in training."""
+    return bpe.encoded(docs, vocabulary_file(), carry=[written_order(docs).alias("position")])
 
 
 STAGES = [
