@@ -7,7 +7,8 @@ cells follows the square root of the number of vectors; a query's cost grows no
 
 Neighbouring cells, those that agree in their first hashes, are dealt together as a place; a query goes there once,
 with the list of the cells that it probes.  Rows carry vectors of one byte a component, which tell each query's ``KEPT``
-best of a place; these alone are looked up and compared by their original vectors.
+best of a place; these alone are looked up and compared by their original vectors.  Of those, a query gives up all that
+are surely further than its nearest in a sample of about 4 sqrt(n) vectors, which bounds what can be among its nearest.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ BLOCK = 8192
 PLACE = 4096
 #: Candidates of a query that a block gives out, and that are compared by their original vectors.
 KEPT = 24
+#: By how much a cosine of vectors of bytes may be off.
+SLACK = 0.02
+#: One row in so many tells how many there are of a place, for cutting places into blocks.
+COUNTED = 16
+#: Vectors of the sample at most.
+SAMPLE = 16_384
 #: Pairs whose products are held at a time.
 PAIRS = 1 << 16
 
@@ -109,11 +116,12 @@ def bytes_of(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
 
 
-_ROW = "place bigint, node bigint, query int, v binary, cells binary"
+_ROW = "place bigint, node bigint, query int, v binary, cells binary, least float"
 
 
-def _placed(cells: Cells, kind: str, query: int):
-    """(node, v) to a row per table, or for queries per place that they probe."""
+def _placed(cells: Cells, kind: str, query: int, sample=None, top: int = 1):
+    """(node, v) to a row per table, or for queries per place that they probe; ``least`` is a cosine that the query's
+    ``top`` nearest others in the broadcast ``sample`` of unit vectors reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +130,11 @@ def _placed(cells: Cells, kind: str, query: int):
                 x = matrix(some.column(1), kind, cells.dim)
                 small = [r.tobytes() for r in bytes_of(x)]
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
+                least = np.full(len(x), -2.0)
+                if sample and len(sample.value) > top:
+                    # the query itself may be in the sample: one more is asked for
+                    least = np.partition(x @ sample.value.T, -top - 1, axis=1)[:, -top - 1] - SLACK
+                least = pa.array(least.astype(np.float32))
                 for t in range(cells.tables):
                     if query:
                         place, cell = cells.probed(x, t)
@@ -132,12 +145,12 @@ def _placed(cells: Cells, kind: str, query: int):
                             first = np.flatnonzero(np.concatenate(([True], place[r][1:] != place[r][:-1])))
                             rows += [r] * len(first)
                             places += place[r][first].tolist()
-                            lists += [c.tobytes() for c in np.split(cell[r], first[1:])]
+                            lists += [c.tobytes() for c in np.split(cell[r].astype(np.int32), first[1:])]
                     else:
                         places, cell = cells.own(x, t)
-                        rows, lists = np.arange(len(x)), [c.tobytes() for c in cell]
+                        rows, lists = np.arange(len(x)), [c.tobytes() for c in cell.astype(np.int32)]
                     rows = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), some.column(0).take(rows), pa.array(np.full(len(rows), query, np.int32)), pa.array(small, pa.binary()).take(rows), pa.array(lists, pa.binary())], names=["place", "node", "query", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), some.column(0).take(rows), pa.array(np.full(len(rows), query, np.int32)), pa.array(small, pa.binary()).take(rows), pa.array(lists, pa.binary()), least.take(rows)], names=["place", "node", "query", "v", "cells", "least"])
 
     return run
 
@@ -153,15 +166,15 @@ def _best(most: int):
                 continue
             node, cells = block.column("node").to_numpy(), block.column("cells").to_pylist()
             v = np.frombuffer(b"".join(block.column("v").to_pylist()), np.int8).reshape(block.num_rows, -1)
-            norm = np.linalg.norm(v.astype(np.float32), axis=1)
+            norm, least = np.linalg.norm(v.astype(np.float32), axis=1), block.column("least").to_numpy()
             c = np.flatnonzero(~is_query)
-            home = np.frombuffer(b"".join(cells[k] for k in c), np.int64)
+            home = np.frombuffer(b"".join(cells[k] for k in c), np.int32)
             by = np.argsort(home, kind="stable")
             c, home = c[by], home[by]
             out = []
             for q in np.flatnonzero(is_query).tolist():
                 if cells[q]:
-                    probed = np.frombuffer(cells[q], np.int64)
+                    probed = np.frombuffer(cells[q], np.int32)
                     low, high = np.searchsorted(home, probed), np.searchsorted(home, probed, "right")
                     size = high - low
                     at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -171,7 +184,8 @@ def _best(most: int):
                 for lo in range(0, len(at), PAIRS):
                     some = c[at[lo : lo + PAIRS]]
                     score = (v[some].astype(np.float32) @ v[q].astype(np.float32)).astype(float) / (norm[some] * norm[q])
-                    own, own_score = np.append(own, some), np.append(own_score, score)
+                    near = score >= least[q]
+                    own, own_score = np.append(own, some[near]), np.append(own_score, score[near])
                     if len(own) > most:
                         keep = np.lexsort((node[own], -own_score))[:most]
                         own, own_score = own[keep], own_score[keep]
@@ -182,18 +196,22 @@ def _best(most: int):
     return run
 
 
-def _compared(m: DataFrame, q: DataFrame) -> DataFrame:
+def _parts(counted: DataFrame, name: str, of: int) -> DataFrame:
+    """(place, name): into how many parts places are cut, from the rows of one node in ``of``."""
+    return counted.groupBy("place").agg(F.ceil(F.count("*") * of / BLOCK).cast("int").alias(name)).filter(F.col(name) > 1)
+
+
+def _compared(m: DataFrame, q: DataFrame, m_parts: DataFrame, q_parts: DataFrame) -> DataFrame:
     """(q, c, score) of the best in every place of members ``m`` and queries ``q``; a place with over BLOCK of
     either is cut into parts, and each part of its members meets each of its queries."""
-    parts = lambda df, name: df.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).filter(F.col(name) > 1)
-    hot = parts(m, "i_parts").join(parts(q, "j_parts"), "place", "full").select("place", *(F.coalesce(c, F.lit(1)).alias(c) for c in ("i_parts", "j_parts")))
+    hot = m_parts.join(q_parts, "place", "full").select("place", *(F.coalesce(c, F.lit(1)).alias(c) for c in ("i_parts", "j_parts")))
     both = m.unionByName(q).join(hot, "place", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("i_parts", "j_parts")})
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     own = lambda c: F.array(F.pmod(F.xxhash64("node"), F.col(c)).cast("int"))
     is_query = F.col("query") == 1
     both = both.withColumn("i", F.explode(F.when(is_query, every("i_parts")).otherwise(own("i_parts"))))
     both = both.withColumn("j", F.explode(F.when(is_query, own("j_parts")).otherwise(every("j_parts"))))
-    both = both.select("place", "i", "j", "query", "node", "v", "cells").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "query", "node")
+    both = both.select("place", "i", "j", "query", "node", "v", "cells", "least").repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "query", "node")
     found = both.mapInArrow(_best(KEPT), "q bigint, c bigint, score double")
     return found.groupBy("q", "c").agg(F.max("score").alias("score"))
 
@@ -227,20 +245,26 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     kind = number_type(df, vec_col)
     packed = packed_vectors(df, id_col, vec_col)
     dim = usual_dim(packed)
-    rows = packed.filter((F.col("dim") == dim) & (F.col("dim") > 0) & F.col("vec").isNotNull())
-    rows = rows.groupBy("vec").agg(F.min(F.struct("print", "v")).alias("x")).select("vec", "x.print", "x.v")
-    rows = cut(rows)
+    usable = packed.filter((F.col("dim") == dim) & (F.col("dim") > 0) & F.col("vec").isNotNull())
     asks = (F.col("vec") % every) == 0
     # equal vectors are one node, named by their least id
-    members = cut(rows.groupBy("print").agg(F.min("vec").alias("node"), F.min("v").alias("v"), F.max(asks).alias("asks")))
-    ids = rows.select("print", "vec").join(members.select("print", "node"), "print").select("node", "vec")
+    rows = cut(usable.groupBy("vec").agg(F.min("print").alias("print")))
+    nodes = cut(rows.groupBy("print").agg(F.min("vec").alias("node"), F.max(asks).alias("asks")))
+    own = usable.select(F.col("vec").alias("node"), "print", "v").join(nodes, ["node", "print"])
+    members = cut(own.groupBy("node").agg(F.min("v").alias("v"), F.max("asks").alias("asks")))
+    ids = rows.join(nodes.select("print", "node"), "print").select("node", "vec")
     place = F.row_number().over(Window.partitionBy("node").orderBy("vec"))
     low = cut(ids.withColumn("place", place).filter(F.col("place") <= top + 1).select("node", "vec"))
     n, total = members.count(), rows.count()
     cells = Cells(max(dim, 1), n, tables, probes)
     queries = members.filter("asks").select("node", "v")
-    m = members.select("node", "v").mapInArrow(_placed(cells, kind, 0), _ROW)
-    found = cut(_compared(m, queries.mapInArrow(_placed(cells, kind, 1), _ROW)))
+    some = members.orderBy(F.xxhash64("node"), "node").limit(min(SAMPLE, 4 * math.isqrt(n))).select("v").collect()
+    some = np.frombuffer(b"".join(bytes(r["v"]) for r in some), kind).reshape(-1, max(dim, 1)).astype("f8")
+    sample = df.sparkSession.sparkContext.broadcast(some / np.linalg.norm(some, axis=1, keepdims=True))
+    placed = lambda df, query: df.select("node", "v").mapInArrow(_placed(cells, kind, query, sample if query else None, top), _ROW)
+    counted = lambda df: df.filter(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(COUNTED)) == 0)
+    parts = _parts(placed(counted(members), 0), "i_parts", COUNTED), _parts(placed(counted(queries), 1), "j_parts", COUNTED)
+    found = cut(_compared(placed(members, 0), placed(queries, 1), *map(cut, parts)))
 
     short = found.join(low.withColumnRenamed("node", "c"), "c").groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") < min(top + 1, total))
     short = queries.join(short, queries["node"] == short["q"], "left_semi")
@@ -250,7 +274,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         of_block = lambda df, c: df.withColumn("place", c)
         m = of_block(members.select("node", "v").mapInArrow(_placed(one, kind, 0), _ROW), F.pmod(F.xxhash64("node"), F.lit(blocks)))
         q = of_block(short.mapInArrow(_placed(one, kind, 1), _ROW).dropDuplicates(["node"]).withColumn("cells", F.lit(b"")), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        found = cut(found.unionByName(_compared(m, q)).groupBy("q", "c").agg(F.max("score").alias("score")))
+        found = cut(found.unionByName(_compared(m, q, *map(cut, (_parts(m, "i_parts", 1), _parts(q, "j_parts", 1))))).groupBy("q", "c").agg(F.max("score").alias("score")))
 
     ranked = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), *order))
     found = found.withColumn("place", ranked("q", "c")).filter(F.col("place") <= KEPT).select("q", "c")
