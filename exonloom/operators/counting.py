@@ -19,8 +19,8 @@ def sample_feature_sum(counts: DataFrame) -> DataFrame:
 
 
 def first_seen(counts: DataFrame, value: str) -> DataFrame:
-    """Each feature's ``value`` in the first row by ord that has it."""
-    return counts.groupBy("feature").agg(F.min_by(value, "ord").alias(value))
+    """Each feature's ``value`` in the first row by ord, the smallest of rows at the same place."""
+    return counts.groupBy("feature").agg(F.min(F.struct("ord", value)).alias("x")).select("feature", F.col(f"x.{value}").alias(value))
 
 
 def total_filter(counts: DataFrame, least: int) -> DataFrame:
@@ -46,22 +46,25 @@ def pseudobulk(matrix: DataFrame, obs: DataFrame, by: list[str], least_cells: in
     return sums.join(sizes, by)
 
 
-def per_total(bulk: DataFrame, by: list[str], scale: float) -> Column:
-    """total / the group's sum * scale."""
-    return F.col("total") / F.sum("total").over(Window.partitionBy(*by)) * F.lit(scale)
+def per_total(bulk: DataFrame, by: list[str], scale: float, name: str) -> DataFrame:
+    """bulk with total / the group's sum * scale.  Groups may be few and large: their sums are an aggregate of partial
+    sums, joined, and no group is one task's."""
+    whole = bulk.groupBy(*by).agg(F.sum("total").alias("_whole"))
+    return bulk.join(whole, by).withColumn(name, F.col("total") / F.col("_whole") * F.lit(scale)).drop("_whole")
 
 
 def log2_cp10k(bulk: DataFrame, by: list[str]) -> DataFrame:
     """bulk with log2(total / group total * 1e4 + 1)."""
-    return bulk.withColumn("log2cp10k", F.log2(per_total(bulk, by, 1e4) + 1))
+    return per_total(bulk, by, 1e4, "log2cp10k").withColumn("log2cp10k", F.log2(F.col("log2cp10k") + 1))
 
 
 def cpm_and_ratio(counts: DataFrame, least_gene_cpm: float = 1.0) -> DataFrame:
     """(sample, gene, feature, count, cpm, ratio): ratio is the feature's share of its gene, null if the gene's CPM is low."""
     one = counts.groupBy("sample", "gene", "feature").agg(F.sum("count").alias("count"))
-    all_, own = Window.partitionBy("sample"), Window.partitionBy("sample", "gene")
-    library = F.sum("count").over(all_)
-    gene = F.sum("count").over(own)
+    genes = one.groupBy("sample", "gene").agg(F.sum("count").alias("_gene"))
+    libraries = genes.groupBy("sample").agg(F.sum("_gene").alias("_library"))
+    one = one.join(genes.join(libraries, "sample"), ["sample", "gene"])
+    library, gene = F.col("_library"), F.col("_gene")
     return one.select("sample", "gene", "feature", "count", (F.col("count") * 1e6 / library).alias("cpm"), F.when(gene * 1e6 / library >= least_gene_cpm, F.col("count") / gene).alias("ratio"))
 
 

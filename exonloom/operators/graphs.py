@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exonloom.sources.shared import cut
+from exonloom.sources.shared import cut, discard
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -24,11 +24,14 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"paths still grow after {most} rounds")
     return known
 
 
-def pagerank(edges: DataFrame, rounds: int = 15, damping: float = 0.85) -> DataFrame:
-    """(node, rank) over directed edges (source, target); ranks add up to 1, dangling nodes give to all."""
+def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
+    """(node, rank) over directed edges (source, target); ranks add up to 1, dangling nodes give to all.  Rounds go on
+    until the ranks' changes add up to ``tolerance`` or less; if ``rounds`` don't get there, it is an error."""
     e = cut(edges.select("source", "target").distinct())
     nodes = cut(e.select(F.col("source").alias("node")).union(e.select("target")).distinct())
     n = nodes.count()
@@ -40,5 +43,10 @@ def pagerank(edges: DataFrame, rounds: int = 15, damping: float = 0.85) -> DataF
         loose = with_out.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = with_out.filter("out is not null").select(F.col("node").alias("source"), (F.col("rank") / F.col("out")).alias("part"))
         got = e.join(given, "source").groupBy(F.col("target").alias("node")).agg(F.sum("part").alias("s"))
-        ranks = cut(nodes.select("node").join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + (F.coalesce("s", F.lit(0.0)) + F.lit(loose / max(n, 1))) * damping).alias("rank")))
-    return ranks
+        new = cut(nodes.select("node").join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + (F.coalesce("s", F.lit(0.0)) + F.lit(loose / max(n, 1))) * damping).alias("rank")))
+        moved = new.join(ranks.withColumnRenamed("rank", "_old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0] or 0.0
+        discard(ranks)
+        ranks = new
+        if moved <= tolerance:
+            return ranks
+    raise RuntimeError(f"ranks still move by {moved} after {rounds} rounds")

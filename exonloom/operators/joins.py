@@ -55,8 +55,8 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def nearest_centroid(df: DataFrame, refs: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     """(id, label, score): the label of the centroid of largest cosine, the smaller label at a tie.  There are as many
-    centroids as labels, a table whose size the caller answers for."""
-    wide = df.select(id_col, vector).crossJoin(F.broadcast(refs.select(F.col(label).alias("_l"), "centroid")))
+    centroids as labels; Spark broadcasts them if they are small enough."""
+    wide = df.select(id_col, vector).crossJoin(refs.select(F.col(label).alias("_l"), "centroid"))
     score = cosine(F.col(vector), F.col("centroid"))
     best = wide.groupBy(id_col).agg(F.max(F.struct(score.alias("s"), (-F.col("_l")).alias("l"))).alias("_b"))
     return best.select(id_col, (-F.col("_b.l")).alias(label), F.col("_b.s").alias("score"))
@@ -68,7 +68,6 @@ def contained_tokens(a: DataFrame, b: DataFrame, key: str, short: str, long: str
     Pairs are found by the short list's rarest token, so that only lists which hold it are compared; token lists are
     joined to the pairs after that, not carried along with every token.
     """
-    delimited = lambda c: F.concat(F.lit("|"), F.array_join(c, "|"), F.lit("|"))
     held = b.select(key, F.explode(F.array_distinct(long)).alias("_t"))
     asked = a.select(F.explode(F.array_distinct(short)).alias("_t")).distinct()
     held = held.join(asked, "_t", "left_semi")
@@ -76,4 +75,8 @@ def contained_tokens(a: DataFrame, b: DataFrame, key: str, short: str, long: str
     parts = a.withColumn("_t", F.explode(F.array_distinct(short))).join(often, "_t")
     rare = parts.groupBy(*a.columns).agg(F.min(F.struct("_df", "_t")).alias("_r")).select(*a.columns, F.col("_r._t").alias("_t"))
     pairs = rare.join(held, "_t").drop("_t").join(b.select(key, long), key)
-    return pairs.filter(F.contains(delimited(F.col(long)), delimited(F.col(short)))).select(*a.columns, key)
+    # whole tokens are compared, whatever characters they hold
+    n, m = F.size(short), F.size(long)
+    starts = F.when(m >= n, F.sequence(F.lit(1), m - n + 1)).otherwise(F.array().cast("array<int>"))
+    found = F.exists(starts, lambda k: (F.element_at(F.col(long), k) == F.element_at(F.col(short), 1)) & (F.slice(F.col(long), k, n) == F.col(short)))
+    return pairs.filter(found).select(*a.columns, key)

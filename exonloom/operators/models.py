@@ -147,15 +147,26 @@ def running_sum(ranked: np.ndarray, hits: np.ndarray) -> float:
     return float(path[np.argmax(np.abs(path))])
 
 
+#: Genes of a ranked list at most, 8 bytes each.
+MOST_GENES = 1 << 20
+
+
 def gsea(scores: DataFrame, term_gene: DataFrame, permutations: int = 200, seed: int = 1) -> DataFrame:
-    """(term, es, nes, p) of terms over scores (gene, score).  The ranked list has a row per gene and goes to each term's
-    task with the term's genes marked."""
-    terms = term_gene.select("term").distinct()
-    marked = terms.crossJoin(F.broadcast(scores)).join(term_gene.withColumn("hit", F.lit(True)), ["term", "gene"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """(term, es, nes, p) of terms over scores (gene, score), ranked by score, then gene.
+
+    The scores are broadcast, a number per gene of a genome; over MOST_GENES of them are refused.  A term's task gets
+    the term's genes alone."""
+    if scores.count() > MOST_GENES:
+        raise ValueError(f"a ranked list has {MOST_GENES} genes at most")
+    ranked = scores.orderBy(F.desc("score"), "gene").toPandas()
+    order = scores.sparkSession.createDataFrame(ranked.assign(place=np.arange(len(ranked)))[["gene", "place"]], f"gene {scores.schema['gene'].dataType.simpleString()}, place bigint")
+    marked = term_gene.select("term", "gene").distinct().join(order, "gene").select("term", "place")
+    known = scores.sparkSession.sparkContext.broadcast(ranked.score.to_numpy(float))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["score", "gene"], ascending=[False, True])
-        s, hits = df.score.to_numpy(float), df.hit.to_numpy(bool)
+        s = known.value
+        hits = np.zeros(len(s), bool)
+        hits[df.place.to_numpy()] = True
         es, rng = running_sum(s, hits), np.random.default_rng(seed)
         null = np.array([running_sum(s, rng.permutation(hits)) for _ in range(permutations)])
         side = null[null * es > 0]

@@ -26,7 +26,8 @@ def ambient_profile(matrix: DataFrame, share: float) -> DataFrame:
     cut = totals.agg(F.percentile("total", F.lit(share)).alias("cut"))
     low = totals.crossJoin(F.broadcast(cut)).filter("total <= cut").select("cell")
     g = matrix.join(low, "cell", "left_semi").groupBy("gene").agg(F.sum("value").alias("s"))
-    return g.select("gene", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("soup"))
+    whole = g.agg(F.sum("s").alias("_whole"))
+    return g.crossJoin(F.broadcast(whole)).select("gene", (F.col("s") / F.col("_whole")).alias("soup"))
 
 
 def without_ambient(matrix: DataFrame, profile: DataFrame, rho: float) -> DataFrame:
@@ -61,7 +62,7 @@ def copy_state(values: DataFrame, key: list[str], value: str, ratios: list[float
 def applied_weights(levels: DataFrame, weights: DataFrame, intercepts: DataFrame, sample: str) -> DataFrame:
     """(sample, target, value): sum of weight * level over the genes that are there, plus the intercept, within 0..1."""
     s = levels.join(weights, "gene").groupBy(sample, "target").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"))
-    return s.join(F.broadcast(intercepts), "target").select(sample, "target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s") + F.col("intercept"))).alias("value"))
+    return s.join(intercepts, "target").select(sample, "target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_s") + F.col("intercept"))).alias("value"))
 
 
 def network_extract(edges: DataFrame, genes: DataFrame) -> DataFrame:

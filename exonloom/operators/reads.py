@@ -73,8 +73,9 @@ def base_at(seq: Column, cigar: Column, pos: Column, at: Column) -> Column:
 
 
 def umi_alleles(calls: DataFrame) -> DataFrame:
-    """(site, cell, ref, alt): of (site, cell, umi, ord, is_alt), the first call of each molecule counts."""
-    one = calls.groupBy("site", "cell", "umi").agg(F.min_by("is_alt", "ord").alias("is_alt"))
+    """(site, cell, ref, alt): of (site, cell, umi, ord, is_alt), the first call of each molecule counts, a reference
+    call before another at the same place."""
+    one = calls.groupBy("site", "cell", "umi").agg(F.min(F.struct("ord", "is_alt")).alias("x")).select("site", "cell", "x.is_alt")
     return one.groupBy("site", "cell").agg(F.count_if(~F.col("is_alt")).alias("ref"), F.count_if("is_alt").alias("alt"))
 
 

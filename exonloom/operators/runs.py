@@ -53,6 +53,15 @@ def gene_windows(df: DataFrame, by: str, order: str, value: str, size: int, stri
     return rows.groupBy(by, "window_start").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
+def multiscale_windows(df: DataFrame, by: str, order: str, value: str, scales: list[tuple[int, int]]) -> DataFrame:
+    """(size, by, window_start, n, mean): gene_windows() of several sizes and strides, without flushed ones."""
+    out = [gene_windows(df, by, order, value, size, stride, flush=False).select(F.lit(size).alias("size"), by, "window_start", "n", "mean") for size, stride in scales]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+
 def merged_intervals(df: DataFrame, by: str, gap: int = 0) -> DataFrame:
     """(by, start, end, n): intervals joined while the next begins no later than the furthest end so far plus ``gap``."""
     before = Window.partitionBy(by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

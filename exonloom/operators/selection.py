@@ -165,21 +165,3 @@ def median_scaled(matrix: DataFrame) -> DataFrame:
     total = matrix.groupBy("cell").agg(F.sum("value").alias("_t")).filter("_t > 0")
     middle = total.agg(F.median("_t").alias("_m"))
     return matrix.join(total, "cell").crossJoin(F.broadcast(middle)).select("cell", "gene", F.log2(F.col("value") / F.col("_t") * F.col("_m") + 1).alias("value"))
-
-
-def q_of_all(p: DataFrame, tested: DataFrame, value: str = "p") -> DataFrame:
-    """(test, p, q): for shortlisted tests the Benjamini-Hochberg value that their p has among all p values.
-
-    Distinct p values are few where tests are many of a kind; ranks come from counts per p in ranges of p, whose sums
-    are added up, so no task sees all."""
-    c = p.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("p")).agg(F.count("*").alias("n")).withColumn("_range", F.floor(F.col("p") * 1000))
-    sums = c.groupBy("_range").agg(F.sum("n").alias("_n"))  # 1,001 ranges at most
-    w = Window.orderBy("_range")
-    sums = sums.select("_range", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    own = Window.partitionBy("_range").orderBy("p")
-    r = c.join(F.broadcast(sums), "_range").withColumn("_raw", F.col("p") * F.col("_all") / (F.col("_before") + F.sum("n").over(own)))
-    later = Window.partitionBy("_range").orderBy(F.desc("p"))
-    least = r.groupBy("_range").agg(F.min("_raw").alias("_least"))
-    after = least.select("_range", F.min("_least").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
-    q = r.withColumn("_own", F.min("_raw").over(later)).join(F.broadcast(after), "_range").select("p", F.least(F.lit(1.0), F.col("_own"), F.coalesce("_after", F.lit(1.0))).alias("q"))
-    return tested.join(q, "p")

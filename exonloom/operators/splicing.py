@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 from exonloom.operators.joins import overlap_join
 
-#: Bin width of the clique join, about twice the usual junction.
+#: Least bin width of the clique join.
 WIDTH = 64
 
 
+def bin_width(spans: DataFrame) -> int:
+    """Twice the length that nine in ten spans have at most: a span then falls into few bins, and so do long ones."""
+    row = spans.agg(F.percentile_approx(F.col("end") - F.col("start"), 0.9)).first()
+    return max(WIDTH, 2 * int(row[0] or 0))
+
+
 def cliques(junctions: DataFrame) -> DataFrame:
     """(gene, start, end, other_start, other_end) over distinct junctions."""
     own = junctions.select("gene", "start", "end").distinct()
+    width = bin_width(own)
     a = own.select("gene", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     b = own.select("gene", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    both = overlap_join(a, b, ["gene"], WIDTH)
+    both = overlap_join(a, b, ["gene"], width)
     return both.select("gene", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_start").alias("other_start"), F.col("b_end").alias("other_end"))
 
 

@@ -17,7 +17,7 @@ def mann_whitney(values: DataFrame, feature: str, group: str, value: str, first:
     ranked = values.withColumn("_r", average_rank([feature], value))
     mine = F.col(group) == first
     u = ranked.groupBy(feature).agg(F.count_if(mine).alias("n1"), F.count_if(~mine).alias("n2"), F.sum(F.when(mine, F.col("_r"))).alias("_s"))
-    ties = values.groupBy(feature, value).agg(F.count("*").alias("_t")).groupBy(feature).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("ties"))
+    ties = values.groupBy(feature, value).agg(F.count("*").alias("_t")).groupBy(feature).agg(F.sum(F.col("_t").cast("double") * F.col("_t") * F.col("_t") - F.col("_t")).alias("ties"))
     n1 = F.col("n1")
     return u.join(ties, feature).filter("n1 > 0 and n2 > 0").select(feature, "n1", "n2", (F.col("_s") - n1 * (n1 + 1) / 2).alias("u"), "ties")
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exonloom.operators.tokens import adjacent
+from exonloom.operators.joins import contained_tokens
+from exonloom.operators.tokens import adjacent, junction_core
 
 
 def gene_model(exons: DataFrame, gene: str) -> DataFrame:
@@ -58,6 +59,64 @@ def collapse(structures: DataFrame) -> DataFrame:
     return one.groupBy("gene").applyInPandas(fold, f"gene {kind}, structure string, reads bigint, is_ref boolean, parent string")
 
 
+def _totals(structures: DataFrame) -> DataFrame:
+    return structures.groupBy("gene", "structure").agg(F.sum("reads").alias("reads"), F.max("is_ref").alias("is_ref"))
+
+
+def _contained(cores: DataFrame) -> DataFrame:
+    """(gene, core, outer): distinct cores (gene, core: 'a|b') and those of the gene that hold them, themselves included.
+    Tokens carry their gene, so that the join on the rarest token stays within it."""
+    own = F.transform(F.split("core", r"\|"), lambda x: F.concat(F.col("gene").cast("string"), F.lit("/"), x))
+    distinct = cores.select("gene", "core").distinct().withColumn("short", own)
+    pairs = contained_tokens(distinct, distinct.select(F.col("core").alias("outer"), F.col("short").alias("long"), F.col("gene").alias("_g")).withColumn("_k", F.struct("_g", "outer")).select("_k", "long"), "_k", "short", "long")
+    return pairs.select("gene", "core", F.col("_k.outer").alias("outer"))
+
+
+def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
+    """(gene, structure, reads, is_ref, parent): isoforms folded by their junction cores, whatever their ends.
+
+    Structures (gene, structure 'a|b|c', reads, is_ref) with ``least_reads``, and all references, take part.  A reference
+    folds only into a reference whose core properly holds its own, the longest structure, the last by name at a tie.
+    Another structure folds into the longest reference left whose core holds or equals its own; of the rest, cores that
+    hold more tokens come first, then more reads, then names, and the first whose core holds or equals a structure's is
+    its parent.  What holds a folded one's core also holds what it held, so nothing depends on the order of folding but
+    the choice among parents, and no gene is worked on one structure at a time.
+    """
+    s = _totals(structures).filter((F.col("reads") >= least_reads) | F.col("is_ref"))
+    t = F.split("structure", r"\|")
+    s = s.withColumns({"core": F.array_join(junction_core(t), "|"), "flen": F.size(t)}).withColumn("n", F.size(F.split("core", r"\|")))
+    inside = _contained(s)
+    refs = s.filter("is_ref")
+    side = lambda df: df.select("gene", F.col("core").alias("outer"), F.col("structure").alias("to"), F.col("flen").alias("to_flen"), F.col("n").alias("to_n"), F.col("reads").alias("to_reads"))
+    over = refs.join(inside, ["gene", "core"]).join(side(refs), ["gene", "outer"]).filter("to_n > n")
+    lost = over.select("gene", "structure").distinct()
+    left = refs.join(lost, ["gene", "structure"], "left_anti")
+    kept = over.join(left.select("gene", F.col("structure").alias("to")), ["gene", "to"], "left_semi")
+    of_refs = kept.groupBy("gene", "structure").agg(F.max(F.struct("to_flen", "to")).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
+
+    novel = s.filter(~F.col("is_ref"))
+    to_refs = novel.join(inside, ["gene", "core"]).join(side(left), ["gene", "outer"])
+    to_refs = to_refs.groupBy("gene", "structure").agg(F.min(F.struct((-F.col("to_flen")).alias("f"), "to")).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
+    rest = novel.join(to_refs, ["gene", "structure"], "left_anti")
+    before = (F.col("to_n") > F.col("n")) | (F.col("to_reads") > F.col("reads")) | ((F.col("to_reads") == F.col("reads")) & (F.col("to") < F.col("structure")))
+    pairs = rest.join(inside, ["gene", "core"]).join(side(rest), ["gene", "outer"]).filter((F.col("to") != F.col("structure")) & (F.col("to_n") >= F.col("n")) & before)
+    folded = pairs.select("gene", "structure").distinct()
+    heads = pairs.join(folded.withColumnRenamed("structure", "to"), ["gene", "to"], "left_anti")
+    order = F.struct((-F.col("to_n")).alias("n"), (-F.col("to_reads")).alias("r"), "to")
+    of_rest = heads.groupBy("gene", "structure").agg(F.min(order).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
+    parents = of_refs.unionByName(to_refs).unionByName(of_rest)
+    return s.join(parents, ["gene", "structure"], "left").select("gene", "structure", "reads", "is_ref", F.coalesce("parent", "structure").alias("parent"))
+
+
+def longest_container(structures: DataFrame) -> DataFrame:
+    """(gene, structure, parent): the longest other structure of the gene, by characters, that holds the structure as a
+    consecutive part, the first by name at a tie; itself if none does."""
+    s = _totals(structures).select("gene", "structure")
+    pairs = _contained(s.withColumnRenamed("structure", "core")).filter(F.length("outer") > F.length("core"))
+    best = pairs.groupBy("gene", F.col("core").alias("structure")).agg(F.min(F.struct((-F.length("outer")).alias("n"), "outer")).alias("b"))
+    return s.join(best, ["gene", "structure"], "left").select("gene", "structure", F.coalesce("b.outer", "structure").alias("parent"))
+
+
 def em_shares(compatible: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """(gene, isoform, share): expectation maximisation over (gene, read_class, isoform, reads), where a class's reads
     fit each of its isoforms."""

@@ -91,3 +91,20 @@ def cigar_blocks(cigar: Column, start: Column) -> Column:
 def event_class(donor: Column, acceptor: Column, donor_alt: Column, acceptor_alt: Column, retained: Column, other_gene: Column) -> Column:
     """The kind of a splicing event from what differs; the first rule that holds wins."""
     return F.when(other_gene, "trans-splicing").when(retained, "intron-retention").when(donor_alt & acceptor_alt, "alt5'-alt3'").when(donor_alt, "alt-5'").when(acceptor_alt, "alt-3'").when(donor == acceptor, "cassette-exon").otherwise("other")
+
+
+def geometric_mean_of(value: str) -> Column:
+    """The same as an aggregate over rows: sums only, no list of a group."""
+    bad = (F.count_if(F.col(value).isNull() | (F.col(value) <= 0)) > 0) | (F.count("*") == 0)
+    return F.when(bad, 0.0).otherwise(F.exp(F.avg(F.ln(F.when(F.col(value) > 0, F.col(value))))))
+
+
+def junction_core(tokens: Column) -> Column:
+    """Tokens from the donor of the first splice junction to the acceptor of the last, without coordinates of their own
+    and repeats that this makes.  A junction is where the exon block changes; without one, the tokens as they are."""
+    plain = deduped(F.transform(tokens, lambda x: F.substring_index(x, "_", 1)))
+    block = lambda x: F.substring_index(x, ".", 1)
+    indices = F.sequence(F.lit(1), F.size(plain) - 1)
+    junctions = F.filter(indices, lambda k: block(F.element_at(plain, k)) != block(F.element_at(plain, k + 1)))
+    first, last = F.array_min(junctions), F.array_max(junctions)
+    return F.when((F.size(plain) > 1) & first.isNotNull(), F.slice(plain, first, last - first + 2)).otherwise(tokens)

@@ -17,9 +17,9 @@ def uid_sample_sum(s, d):
     return C.sample_feature_sum(A.counts(s, d))
 
 
-@query("uid_first_meta", f"SELECT feature, arg_min(strand, ord) AS strand FROM (SELECT feature, strand, min(ord) AS ord FROM {COUNTS} GROUP BY 1, 2) GROUP BY 1")
+@query("uid_first_meta", f"SELECT feature, first(strand ORDER BY ord, strand) AS strand FROM {COUNTS} GROUP BY 1")
 def uid_first_meta(s, d):
-    return C.first_seen(A.counts(s, d).groupBy("feature", "strand").agg(F.min("ord").alias("ord")), "strand")
+    return C.first_seen(A.counts(s, d), "strand")
 
 
 @query("feature_total_threshold", f"SELECT feature, CAST(sum(count) AS BIGINT) AS total FROM {COUNTS} GROUP BY 1 HAVING sum(count) >= 200")

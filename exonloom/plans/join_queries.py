@@ -134,7 +134,7 @@ def token_containment(s, d):
 
 @query("exact_sequence_join", "SELECT a.doc_id, min(b.doc_id) AS first_copy, count(*) AS copies FROM documents a JOIN documents b ON a.text = b.text GROUP BY 1")
 def exact_sequence_join(s, d):
-    """Texts are grouped by their hash, compared in full within it."""
+    """Texts are equal if their SHA-256 and their lengths are; they are not compared byte by byte."""
     t = A.table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
     g = t.groupBy("h", "n").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies"))
     return t.join(g, ["h", "n"]).select("doc_id", "first_copy", "copies")

@@ -9,7 +9,7 @@ from exonloom.operators import graphs as G
 from exonloom.operators import networks as N
 from exonloom.operators import structures as S
 from exonloom.plans.registry import query
-from exonloom.plans.token_queries import structures
+from exonloom.plans.token_queries import _S, structures
 from exonloom.sources import adapters as A
 from exonloom.sources.adapters import MATRIX, OBS, POSITIONS
 
@@ -79,7 +79,54 @@ def pagerank(s, d):
     return G.pagerank(A.table(s, d, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("source"), F.expr("p_partkey div 3").alias("target")))
 
 
-@query("collapse_core")
+def _fold_sql(rows: str) -> str:
+    """SQL of the containment fold of (gene, structure, reads, is_ref)."""
+    return f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY is_ref DESC, len(string_split(structure, '|')) DESC, reads DESC, structure) AS k FROM {rows}),
+p AS (SELECT a.gene, a.structure, b.structure AS parent, b.k FROM n a JOIN n b ON a.gene = b.gene AND b.k < a.k AND NOT a.is_ref AND contains('|' || b.structure || '|', '|' || a.structure || '|')),
+r AS (SELECT p.gene, p.structure, arg_min(p.parent, p.k) AS parent FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.gene = p.gene AND q.structure = p.parent) GROUP BY 1, 2)
+SELECT n.gene, n.structure, n.reads, n.is_ref, coalesce(r.parent, n.structure) AS parent FROM n LEFT JOIN r ON r.gene = n.gene AND r.structure = n.structure"""
+
+
+@query("collapse_core", _fold_sql(f"(SELECT gene, array_to_string(t, '|') AS structure, CAST(len(t) AS BIGINT) AS reads, gene % 5 = 0 AS is_ref FROM {_S})"))
 def collapse_core(s, d):
     t = structures(s, d).select("gene", F.array_join("t", "|").alias("structure"), F.size("t").cast("bigint").alias("reads"), (F.col("gene") % 5 == 0).alias("is_ref"))
     return S.collapse(t)
+
+
+_CS = f"""(SELECT c_nationkey AS gene, array_to_string(t, '|') AS structure, CAST(sum(len(t)) AS BIGINT) AS reads, bool_or(s.gene % 50 = 0) AS is_ref
+FROM {_S} s JOIN customer ON c_custkey = s.gene GROUP BY 1, 2)"""
+
+
+def by_nation(s, d):
+    t = structures(s, d).join(A.table(s, d, "customer").select(F.col("c_custkey").alias("gene"), "c_nationkey"), "gene")
+    return t.select(F.col("c_nationkey").alias("gene"), F.array_join("t", "|").alias("structure"), F.size("t").cast("bigint").alias("reads"), (F.col("gene") % 50 == 0).alias("is_ref"))
+
+
+@query("containment_fold", _fold_sql(_CS))
+def containment_fold(s, d):
+    return S.collapse(by_nation(s, d))
+
+
+_JC = f"""(WITH w AS (SELECT * FROM (SELECT *, string_split(structure, '|') AS whole FROM {_CS}) WHERE reads >= 2 OR is_ref),
+o AS (SELECT *, list_filter(whole, lambda x, i: i = 1 OR x != whole[i - 1]) AS t FROM w),
+b AS (SELECT *, list_transform(t, lambda x: split_part(x, '.', 1)) AS bl FROM o),
+e AS (SELECT *, coalesce(list_max(list_filter(generate_series(1, len(t)), lambda i: len(list_distinct(bl[1:i])) = 1)), 1) AS f, coalesce(list_min(list_filter(generate_series(1, len(t)), lambda i: len(list_distinct(bl[i:])) = 1)), 1) AS l FROM b),
+c AS (SELECT gene, structure, reads, is_ref, '|' || array_to_string(CASE WHEN len(list_distinct(bl)) < 2 THEN whole ELSE t[f:l] END, '|') || '|' AS core, len(whole) AS flen FROM e)
+SELECT *, len(core) - len(replace(core, '|', '')) - 1 AS n FROM c)"""
+
+
+@query("core_collapse", f"""WITH c AS {_JC}, er AS (SELECT * FROM c WHERE is_ref), es AS (SELECT * FROM er a WHERE NOT EXISTS (SELECT 1 FROM er b WHERE b.gene = a.gene AND b.n > a.n AND contains(b.core, a.core))),
+ep AS (SELECT a.gene, a.structure, first(b.structure ORDER BY b.flen DESC, b.structure DESC) AS parent FROM er a JOIN es b ON a.gene = b.gene AND b.n > a.n AND contains(b.core, a.core) GROUP BY 1, 2),
+np AS (SELECT a.gene, a.structure, first(b.structure ORDER BY b.flen DESC, b.structure) AS parent FROM c a JOIN es b ON a.gene = b.gene AND NOT a.is_ref AND contains(b.core, a.core) GROUP BY 1, 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n DESC, reads DESC, structure) AS k FROM c WHERE NOT is_ref AND (gene, structure) NOT IN (SELECT (gene, structure) FROM np)),
+mr AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.gene = a.gene AND b.k < a.k AND contains(b.core, a.core))),
+mp AS (SELECT a.gene, a.structure, arg_min(b.structure, b.k) AS parent FROM m a JOIN mr b ON a.gene = b.gene AND b.k < a.k AND contains(b.core, a.core) GROUP BY 1, 2)
+SELECT c.gene, c.structure, c.reads, c.is_ref, coalesce(ep.parent, np.parent, mp.parent, c.structure) AS parent FROM c LEFT JOIN ep USING (gene, structure) LEFT JOIN np USING (gene, structure) LEFT JOIN mp USING (gene, structure)""")
+def core_collapse(s, d):
+    return S.collapse_by_core(by_nation(s, d), 2)
+
+
+@query("substring_collapse", f"""SELECT gene, structure, coalesce((SELECT first(b.structure ORDER BY length(b.structure) DESC, b.structure) FROM {_CS} b WHERE b.gene = a.gene AND length(b.structure) > length(a.structure)
+AND contains('|' || b.structure || '|', '|' || a.structure || '|')), structure) AS parent FROM {_CS} a""")
+def substring_collapse(s, d):
+    return S.longest_container(by_nation(s, d))

@@ -58,7 +58,7 @@ def best_assignment(s, d):
 @query("kth_range", f"SELECT feature, CAST(high - low AS BIGINT) AS spread FROM (SELECT feature, list_sort(list(c))[2] AS low, list_sort(list(c))[-2] AS high FROM (SELECT sample, feature, sum(count) AS c FROM {COUNTS} GROUP BY 1, 2) GROUP BY 1) WHERE high - low > 50")
 def kth_range(s, d):
     c = A.counts(s, d).groupBy("sample", "feature").agg(F.sum("count").alias("c"))
-    return c.groupBy("feature").agg(*K.kth_range("feature", "c", 2)).select("feature", (F.col("high") - F.col("low")).alias("spread")).filter("spread > 50")
+    return K.kth_range(c, "feature", "c", 2).select("feature", (F.col("high") - F.col("low")).alias("spread")).filter("spread > 50")
 
 
 @query("runs_min_len", f"""SELECT chrom, min(pos) AS first, max(pos) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - row_number() OVER (PARTITION BY chrom, value > 20 ORDER BY pos) AS run
@@ -90,11 +90,11 @@ def smooth_and_centre(s, d):
     return m.join(F.broadcast(mid), "chrom").select("chrom", "pos", R(F.col("x") - F.col("mid"), 4).alias("centred"))
 
 
-def _windows_sql(flush: bool) -> str:
-    last = "UNION SELECT chrom, n - 20 FROM g WHERE n >= 20" if flush else ""
+def _windows_sql(flush: bool, size: int = 20, stride: int = 7) -> str:
+    last = f"UNION SELECT chrom, n - {size} FROM g WHERE n >= {size}" if flush else ""
     return f"""WITH p AS (SELECT chrom, value, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i FROM {POSITIONS}), g AS (SELECT chrom, count(*) AS n FROM p GROUP BY 1),
-w AS (SELECT chrom, unnest(generate_series(0, n - 20, 7)) AS window_start FROM g WHERE n >= 20 {last})
-SELECT w.chrom, CAST(w.window_start AS BIGINT) AS window_start, count(*) AS n, round(avg(value), 4) AS mean FROM w JOIN p ON p.chrom = w.chrom AND p.i >= w.window_start AND p.i < w.window_start + 20 GROUP BY 1, 2"""
+w AS (SELECT chrom, unnest(generate_series(0, n - {size}, {stride})) AS window_start FROM g WHERE n >= {size} {last})
+SELECT w.chrom, CAST(w.window_start AS BIGINT) AS window_start, count(*) AS n, round(avg(value), 4) AS mean FROM w JOIN p ON p.chrom = w.chrom AND p.i >= w.window_start AND p.i < w.window_start + {size} GROUP BY 1, 2"""
 
 
 @query("gene_windows", _windows_sql(True))
@@ -102,9 +102,13 @@ def gene_windows(s, d):
     return U.gene_windows(A.positions(s, d), "chrom", "pos", "value", 20, 7).withColumn("mean", R("mean", 4))
 
 
-@query("multiscale_windows", _windows_sql(False))
+_SCALES = [(20, 7), (50, 10), (100, 25)]
+
+
+@query("multiscale_windows", " UNION ALL ".join(f"SELECT {size} AS size, * FROM ({_windows_sql(False, size, stride)})" for size, stride in _SCALES))
 def multiscale_windows(s, d):
-    return U.gene_windows(A.positions(s, d), "chrom", "pos", "value", 20, 7, flush=False).withColumn("mean", R("mean", 4))
+    p = A.positions(s, d)
+    return U.multiscale_windows(p, "chrom", "pos", "value", _SCALES).withColumn("mean", R("mean", 4))
 
 
 @query("robust_z", f"WITH m AS (SELECT chrom, median(value) AS mid FROM {POSITIONS} GROUP BY 1), a AS (SELECT p.chrom, pos, value - mid AS dev FROM {POSITIONS} p JOIN m USING (chrom)), s AS (SELECT chrom, greatest(1.4826 * median(abs(dev)), 0.1) AS scale FROM a GROUP BY 1) SELECT chrom, pos, round(dev / scale, 6) AS z FROM a JOIN s USING (chrom)")

@@ -61,11 +61,15 @@ def retained_introns(s, d):
     return E.retained(intron_boundary_counts(s, d))
 
 
-@query("umi_alleles", "WITH f AS (SELECT l_suppkey AS site, l_partkey % 200 AS cell, l_orderkey % 50 AS umi, arg_min(l_linestatus = 'O', l_orderkey * 10 + l_linenumber) AS alt FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL) GROUP BY 1, 2, 3) SELECT site, cell, count(*) FILTER (NOT alt) AS ref, count(*) FILTER (alt) AS alt FROM f GROUP BY 1, 2")
+@query("umi_alleles", """WITH f AS (SELECT l_suppkey AS site, l_partkey % 200 AS cell, l_orderkey % 50 AS umi,
+first(l_linestatus = 'O' ORDER BY l_orderkey * 10 + l_linenumber, l_linestatus = 'O') AS alt FROM lineitem GROUP BY 1, 2, 3)
+SELECT site, cell, count(*) FILTER (NOT alt) AS ref, count(*) FILTER (alt) AS alt FROM f GROUP BY 1, 2""")
 def umi_alleles(s, d):
-    one = A.table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("x"))
-    one = one.groupBy(F.col("l_suppkey").alias("site"), (F.col("l_partkey") % 200).alias("cell"), (F.col("l_orderkey") % 50).alias("umi"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")).agg(F.min(F.struct("l_partkey", (F.col("x") == "O").alias("is_alt"))).alias("y"))
-    return E.umi_alleles(one.select("site", "cell", "umi", "ord", "y.is_alt"))
+    k = F.col("l_orderkey")
+    calls = A.table(s, d, "lineitem").select(
+        F.col("l_suppkey").alias("site"), (F.col("l_partkey") % 200).alias("cell"), (k % 50).alias("umi"), (k * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_linestatus") == "O").alias("is_alt")
+    )
+    return E.umi_alleles(calls)
 
 
 _G = "(SELECT l_suppkey AS variant, l_partkey % 100 AS cell, count(*) FILTER (l_returnflag = 'A') AS alt, count(*) AS total FROM lineitem GROUP BY 1, 2)"

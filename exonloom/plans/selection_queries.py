@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from exonloom.operators import ranking as K
 from exonloom.operators import selection as S
 from exonloom.plans.registry import query
 from exonloom.sources import adapters as A
@@ -176,4 +177,4 @@ SELECT l_orderkey, l_linenumber, l_partkey, p, round(q, 6) AS q FROM {_P} JOIN q
 def shortlisted_q(s, d):
     p = F.floor(F.col("l_partkey") * F.col("l_quantity").cast("bigint") / 200) / 10000
     t = A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", p.alias("p"))
-    return S.q_of_all(t, t.filter("p < 0.0005")).withColumn("q", R("q"))
+    return K.q_of_all(t, t.filter("p < 0.0005")).withColumn("q", R("q"))

@@ -22,7 +22,7 @@ def values(s, d):
 
 _U = f"""(WITH r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS r FROM {_V}), t AS (SELECT gene, sum(t * t * t - t) AS ties FROM (SELECT gene, value, count(*) AS t FROM {_V} GROUP BY 1, 2) GROUP BY 1),
 u AS (SELECT gene, count(*) FILTER (condition = 'case') AS n1, count(*) FILTER (condition != 'case') AS n2, sum(r) FILTER (condition = 'case') AS s FROM r GROUP BY 1)
-SELECT gene, n1, n2, s - n1 * (n1 + 1) / 2 AS u, CAST(ties AS BIGINT) AS ties FROM u JOIN t USING (gene) WHERE n1 > 0 AND n2 > 0)"""
+SELECT gene, n1, n2, s - n1 * (n1 + 1) / 2 AS u, CAST(ties AS DOUBLE) AS ties FROM u JOIN t USING (gene) WHERE n1 > 0 AND n2 > 0)"""
 
 
 @query("mwu_u", f"SELECT * FROM {_U}")
@@ -35,10 +35,30 @@ def mwu_z(s, d):
     return T.mann_whitney_z(mwu_u(s, d)).select("gene", R("z").alias("z"))
 
 
-@query("mwu_p")
+def _simpson(f: str, low: str, high: str, panels: int = 2000) -> str:
+    """SQL of the integral of f, an expression of $x, by Simpson's rule."""
+    x, h = f"({low} + i * ({high} - ({low})) / {panels})", f"(({high} - ({low})) / {panels})"
+    weight = f"CASE WHEN i = 0 OR i = {panels} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"{h} / 3 * list_sum(list_transform(generate_series(0, {panels}), lambda i: {weight} * ({f.replace('$x', x)})))"
+
+
+def _normal_sf(z: str) -> str:
+    return f"({_simpson('exp(-$x * $x / 2)', z, f'({z}) + 12')} / sqrt(2 * pi()))"
+
+
+def _with_q(p: str) -> str:
+    """SQL of p's rows with Benjamini-Hochberg values."""
+    ranked = f"SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM ({p})"
+    return f"SELECT * EXCLUDE (raw, p), round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, gene DESC)), 6) AS q FROM ({ranked})"
+
+
+_Z = f"(SELECT *, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * ((n1 + n2 + 1) - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)))) AS z FROM {_U})"
+
+
+@query("mwu_p", f"SELECT gene, u, p, q FROM ({_with_q(f'SELECT *, least(1.0, 2 * {_normal_sf("z")}) AS p FROM {_Z}')})")
 def mwu_p(s, d):
     p = P.as_udf(lambda z: min(1.0, 2 * P.normal_sf(z)))
-    return K.with_q(T.mann_whitney_z(mwu_u(s, d)).withColumn("p", p("z")), [], "p", ["gene"])
+    return K.with_q(T.mann_whitney_z(mwu_u(s, d)).withColumn("p", p("z")), [], "p", ["gene"]).select("gene", "u", R("p").alias("p"), R("q").alias("q"))
 
 
 _T = f"""(WITH g AS (SELECT gene, count(*) FILTER (condition = 'case') AS n1, count(*) FILTER (condition != 'case') AS n2, avg(value) FILTER (condition = 'case') - avg(value) FILTER (condition != 'case') AS diff,
@@ -51,10 +71,14 @@ def moderated_t(s, d):
     return T.moderated_t(values(s, d), "gene", "condition", "value", "case").withColumns({"diff": R("diff"), "t": R("t")})
 
 
-@query("moderated_t_p")
+_DENSITY = "pow(1 + $x * $x / df, -(df + 1) / 2)"
+_TP = f"1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * ({_simpson(_DENSITY, '0', 'abs(t)')})"
+
+
+@query("moderated_t_p", f"SELECT gene, p, q FROM ({_with_q(f'SELECT gene, greatest(0, {_TP}) AS p FROM {_T}')})")
 def moderated_t_p(s, d):
     t = T.moderated_t(values(s, d), "gene", "condition", "value", "case")
-    return K.with_q(t.withColumn("p", P.as_udf(P.t_two_sided)("t", "df")), [], "p", ["gene"])
+    return K.with_q(t.withColumn("p", P.as_udf(P.t_two_sided)("t", "df")), [], "p", ["gene"]).select("gene", R("p").alias("p"), R("q").alias("q"))
 
 
 @query("paired_t", f"""WITH p AS (SELECT gene, donor, avg(value) FILTER (condition = 'case') - avg(value) FILTER (condition != 'case') AS d FROM {MATRIX} JOIN {OBS} USING (cell) GROUP BY 1, 2),
@@ -114,9 +138,14 @@ def cmh_parts(s, d):
     return T.cmh(tables(s, d), "gene").withColumns({"numerator": R("numerator"), "variance": R("variance")})
 
 
-@query("cmh_p")
+_CMH = f"""(SELECT gene, sum(a - (a + b) * (a + c) / (a + b + c + d)) AS n, sum(CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d) / ((a + b + c + d) * (a + b + c + d) * (a + b + c + d - 1))) AS v, count(*) AS k FROM {_TAB}
+WHERE a + b + c + d > 1 AND a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0 GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+@query("cmh_p", f"SELECT gene, k AS strata, round(least(1.0, 2 * {_normal_sf('abs(n) / sqrt(v)')}), 6) AS p FROM {_CMH}")
 def cmh_p(s, d):
-    return T.cmh(tables(s, d), "gene").withColumn("p", P.as_udf(lambda n, v: P.chi2_1_sf(n * n / v) if v > 0 else 1.0)("numerator", "variance"))
+    p = P.as_udf(lambda n, v: P.chi2_1_sf(n * n / v) if v > 0 else 1.0)("numerator", "variance")
+    return T.cmh(tables(s, d), "gene").select("gene", "strata", R(p).alias("p"))
 
 
 _FISH = f"(SELECT gene, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM {_TAB} GROUP BY 1)"

@@ -92,8 +92,8 @@ def reverse_complement(s, d):
 
 @query("geometric_mean", "SELECT o_custkey AS gene, round(CASE WHEN min(o_totalprice - 5000) <= 0 THEN 0 ELSE exp(avg(ln(greatest(o_totalprice - 5000, 1e-9)))) END, 4) AS m FROM orders GROUP BY 1")
 def geometric_mean(s, d):
-    g = A.table(s, d, "orders").groupBy(F.col("o_custkey").alias("gene")).agg(F.collect_list(F.col("o_totalprice") - 5000).alias("v"))
-    return g.select("gene", F.round(X.geometric_mean(F.col("v")), 4).alias("m"))
+    t = A.table(s, d, "orders").select(F.col("o_custkey").alias("gene"), (F.col("o_totalprice") - 5000).alias("v"))
+    return t.groupBy("gene").agg(F.round(X.geometric_mean_of("v"), 4).alias("m"))
 
 
 @query("redundant_sequences", "SELECT text_hash, count(*) AS n, CAST(min(doc_id) AS BIGINT) AS first FROM (SELECT doc_id, sha256(text) AS text_hash FROM documents) GROUP BY 1 HAVING count(*) > 1")

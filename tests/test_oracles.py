@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest supplied tables."""
+"""Every registered query against its SQL on the supplied tables that the comparison uses."""
 
 import math
 import pathlib
@@ -8,7 +8,7 @@ import pytest
 
 from exonloom.plans import registry
 
-DATA = pathlib.Path("/root/testdata/sf0.001")
+DATA = pathlib.Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the supplied tables are not here")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
