@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from exonloom.operators.joins import contained_tokens
 from exonloom.operators.tokens import adjacent, junction_core
+from exonloom.sources.shared import cut
 
 
 def gene_model(exons: DataFrame, gene: str) -> DataFrame:
@@ -85,7 +86,8 @@ def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
     s = _totals(structures).filter((F.col("reads") >= least_reads) | F.col("is_ref"))
     t = F.split("structure", r"\|")
     s = s.withColumns({"core": F.array_join(junction_core(t), "|"), "flen": F.size(t)}).withColumn("n", F.size(F.split("core", r"\|")))
-    inside = _contained(s)
+    s = cut(s)  # it is read many times below
+    inside = cut(_contained(s))
     refs = s.filter("is_ref")
     side = lambda df: df.select("gene", F.col("core").alias("outer"), F.col("structure").alias("to"), F.col("flen").alias("to_flen"), F.col("n").alias("to_n"), F.col("reads").alias("to_reads"))
     over = refs.join(inside, ["gene", "core"]).join(side(refs), ["gene", "outer"]).filter("to_n > n")
@@ -97,6 +99,7 @@ def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
     novel = s.filter(~F.col("is_ref"))
     to_refs = novel.join(inside, ["gene", "core"]).join(side(left), ["gene", "outer"])
     to_refs = to_refs.groupBy("gene", "structure").agg(F.min(F.struct((-F.col("to_flen")).alias("f"), "to")).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
+    to_refs = cut(to_refs)
     rest = novel.join(to_refs, ["gene", "structure"], "left_anti")
     before = (F.col("to_n") > F.col("n")) | (F.col("to_reads") > F.col("reads")) | ((F.col("to_reads") == F.col("reads")) & (F.col("to") < F.col("structure")))
     pairs = rest.join(inside, ["gene", "core"]).join(side(rest), ["gene", "outer"]).filter((F.col("to") != F.col("structure")) & (F.col("to_n") >= F.col("n")) & before)
