@@ -5,10 +5,12 @@ a_1..a_m of ``r`` minima each, B likewise, and table (i, j) is keyed by (a_i, b_
 cost 2 * m * r minhashes instead of 2 * m * m * r.  With m = 6, r = 2, a pair of similarity 0.85 shares a key with
 probability 0.9991, one of 0.9 with 0.99996.
 
-Links are found in two rounds, neither of which lists all pairs of a bucket:
+Links are found in three rounds, none of which lists all pairs of a bucket:
 
 1. Every set is compared with the least member of each of its buckets.
-2. Buckets whose members are still in several components are taken up again.  A member of another component than
+2. In buckets whose members are still in several components, those of other components are compared with the bucket's
+   hub, the member with most links so far: of a text and its many copies with changes, that is most likely the text.
+3. Buckets that are still in several components are taken up again.  A member of another component than
    the bucket's largest is compared with all others, save those that counting rules out.  ``frequent`` elements
    are those that over ``RARE`` sets of the round hold.  Two sets without a rare element in common can share no
    more than the smaller number of their frequent elements, so that number must reach the wanted intersection;
@@ -136,6 +138,16 @@ def _undecided(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def _hub_pairs(undecided: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of undecided buckets with the bucket's hub, where that is of another component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    members = undecided.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    order = F.struct("degree", (-F.col("node")).alias("least"))
+    hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "component"), order).alias("hub"))
+    met = undecided.join(hubs, "key").filter((F.col("component") != F.col("hub.component")) & _fits(F.col("n"), F.col("hub.n"), percent))
+    return met.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+
+
 def _late_pairs(undecided: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, m: int, r: int) -> DataFrame:
     """(a, b): pairs of different components in a bucket that counting doesn't rule out."""
     c = F.col
@@ -195,15 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = buckets.filter(c("node") != c("lead")).filter(_fits(c("n"), c("lead_n"), percent))
     star = star.select(c("node").alias("a"), c("lead").alias("b")).distinct()
     links = _confirmed(star, nodes, sets, percent, 2 * m * r)
-    final = found = connected_components(links)
-
-    # round 2: what is left of buckets with several components
-    undecided = _undecided(buckets, found)
-    if not undecided.isEmpty():
-        late = _confirmed(_late_pairs(undecided, nodes, sets, percent, m, r), nodes, sets, percent, 2 * m * r)
-        if not late.isEmpty():
-            final = connected_components(found.select(c("node").alias("a"), c("component").alias("b")).unionByName(late))
-    for t in (buckets, sets, links, undecided):
+    final = connected_components(links)
+
+    # rounds 2 and 3: what is left of buckets with several components
+    for later in (lambda rows: _hub_pairs(rows, links, percent), lambda rows: _late_pairs(rows, nodes, sets, percent, m, r)):
+        undecided = _undecided(buckets, final)
+        if undecided.isEmpty():
+            break
+        more = _confirmed(later(undecided), nodes, sets, percent, 2 * m * r)
+        if not more.isEmpty():
+            final = connected_components(final.select(c("node").alias("a"), c("component").alias("b")).unionByName(more))
+        discard(undecided)
+        discard(more)
+    for t in (buckets, sets, links):
         discard(t)
     homes = classes.select("print", "node").join(final, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = sigs.select("doc", "n", "print").join(homes, "print", "left").withColumn("component_id", F.when(c("n") > 0, c("component")).otherwise(c("doc")))
