@@ -12,6 +12,8 @@ empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +39,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fitted(docs, _labels(spark, sf_dir)), keep=True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``_row``, a number of its own for each row that rereading doesn't change: the row's place in the files
+    that Spark wrote, or else in a copy."""
+    parts = [re.fullmatch(r".*/part-(\d+)-[^/]*", f) for f in docs.inputFiles()]
+    if parts and all(parts) and len({p[1] for p in parts}) == len(parts):
+        return docs.withColumn("_row", written_order(docs))
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, directly or over others, the one with the smallest id.
 
     It is decided by row, as ids may be null, which come last, or repeat: at equal ids the text with the smallest hash
     stays, of equal texts one row.  Different texts of an id stay, and so do rows without words.
     """
-    own = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = numbered(docs)
     found = near_duplicates(own, id_col="_row", width=5, percent=80, m=7).select("_row", "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "_row")
     first = own.select("_row", place.alias("place")).join(found, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
