@@ -40,12 +40,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``_row``, a number of its own for each row that rereading doesn't change: the row's place in the files
-    that Spark wrote, or else in a copy."""
+    """docs with ``_row``, a number of its own for each row that rereading doesn't change.
+
+    Its lower bits are the row's place in the files that Spark wrote, or else in a copy; its upper ones grow with
+    doc_id, null coming last.  So near-dedup, which compares a bucket's members with the least first, starts from the
+    text that came first, of which the others are most likely copies.
+    """
     parts = [re.fullmatch(r".*/part-(\d+)-[^/]*", f) for f in docs.inputFiles()]
-    if parts and all(parts) and len({p[1] for p in parts}) == len(parts):
-        return docs.withColumn("_row", written_order(docs))
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    written = parts and all(parts) and len({p[1] for p in parts}) == len(parts)
+    placed = docs.withColumn("_place", written_order(docs)) if written else cut(docs.withColumn("_place", F.monotonically_increasing_id()))
+    most, low, high = placed.agg(F.max("_place"), F.min("doc_id"), F.max("doc_id")).first()
+    bits = (most or 0).bit_length()
+    steps = float((1 << (62 - bits)) - 1)
+    share = (F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(max(float(high or 0) - float(low or 0), 1.0))
+    coarse = F.coalesce(F.floor(share * steps), F.lit(int(steps))).cast("bigint")
+    return placed.withColumn("_row", F.shiftleft(coarse, bits).bitwiseOR(F.col("_place"))).drop("_place")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
