@@ -29,7 +29,7 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     return known
 
 
-def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 200, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(node, rank) over directed edges (source, target); ranks add up to 1, dangling nodes give to all.  Rounds go on
     until the ranks' changes add up to ``tolerance`` or less; if ``rounds`` don't get there, it is an error."""
     e = cut(edges.select("source", "target").distinct())
