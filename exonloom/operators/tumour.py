@@ -53,13 +53,15 @@ def shapley(scores: DataFrame, player: str, cell: str, metrics: list[str], bonus
 
 
 def arm_calls(bins: DataFrame, by: str, arm: str, value: str, sd: float, least: float, ratios: list[float]) -> DataFrame:
-    """(by, arm, ratio, gain): the copy ratio that fits an arm's bins best, 1 unless twice its log-likelihood's lead over 1
-    is ``least`` or more.  Sums of squares about a ratio follow from n, the sum and the sum of squares."""
+    """(by, arm, ratio, gain): the copy ratio that fits an arm's bins best, the smaller at a tie, and 1 unless twice its
+    log-likelihood's lead over 1 is ``least`` or more.  Sums of squares about a ratio follow from n, the sum and the sum of
+    squares.  Likelihoods and gains are compared to six places, so that the last bits of sums, which depend on the order
+    of rows, don't decide."""
     g = bins.groupBy(by, arm).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
     ll = lambda r: -(F.col("q") - F.col("s") * (2 * r) + F.col("n") * (r * r)) / (2 * sd * sd)
-    best = F.array_max(F.array(*(F.struct(ll(r).alias("ll"), F.lit(-abs(r - 1)).alias("t"), F.lit(r).alias("r")) for r in ratios)))
+    best = F.array_max(F.array(*(F.struct(F.round(ll(r), 6).alias("near"), F.lit(-r).alias("neg"), ll(r).alias("ll")) for r in ratios)))
     gain = (best["ll"] - ll(1.0)) * 2
-    return g.select(by, arm, F.when(gain >= least, best["r"]).otherwise(F.lit(1.0)).alias("ratio"), gain.alias("gain"))
+    return g.select(by, arm, F.when(F.round(gain, 6) >= least, -best["neg"]).otherwise(F.lit(1.0)).alias("ratio"), gain.alias("gain"))
 
 
 def event_matches(a: DataFrame, b: DataFrame) -> DataFrame:
