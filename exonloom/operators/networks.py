@@ -52,11 +52,13 @@ def fold_matrix(levels: DataFrame, gene: str, group: str, value: str, control: s
 
 
 def copy_state(values: DataFrame, key: list[str], value: str, ratios: list[float], sd: float) -> DataFrame:
-    """(key..., copies, lead): the ratio of largest Gaussian likelihood, the smaller at a tie, and twice its lead over 1."""
-    states = F.array(*(F.struct((-((F.col(value) - F.lit(r)) * (F.col(value) - F.lit(r))) / (2 * sd * sd)).alias("ll"), F.lit(-r).alias("neg")) for r in ratios))
-    best = F.array_max(states)
-    base = -((F.col(value) - 1.0) * (F.col(value) - 1.0)) / (2 * sd * sd)
-    return values.select(*key, (-best["neg"]).alias("copies"), ((best["ll"] - base) * 2).alias("lead"))
+    """(key..., copies, lead): the ratio of largest Gaussian likelihood, the smaller at a tie, and twice its lead over 1.
+
+    A value in the middle of two ratios ties; likelihoods are compared to six places, so that the last bits of a mean,
+    which depend on the order of its rows, don't decide."""
+    ll = lambda r: -((F.col(value) - F.lit(r)) * (F.col(value) - F.lit(r))) / (2 * sd * sd)
+    best = F.array_max(F.array(*(F.struct(F.round(ll(r), 6).alias("near"), F.lit(-r).alias("neg"), ll(r).alias("ll")) for r in ratios)))
+    return values.select(*key, (-best["neg"]).alias("copies"), ((best["ll"] - ll(1.0)) * 2).alias("lead"))
 
 
 def applied_weights(levels: DataFrame, weights: DataFrame, intercepts: DataFrame, sample: str) -> DataFrame:

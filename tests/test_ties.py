@@ -1,6 +1,6 @@
 """Cases in which queries differed from their SQL on larger tables."""
 
-from exonloom.operators import tumour
+from exonloom.operators import networks, tumour
 
 
 def test_arm_calls_take_the_smaller_of_equal_ratios(spark):
@@ -9,3 +9,8 @@ def test_arm_calls_take_the_smaller_of_equal_ratios(spark):
     bins = spark.createDataFrame(rows, "gene string, arm string, v double")
     r = {x.gene: x.ratio for x in tumour.arm_calls(bins, "gene", "arm", "v", 0.5, 3, [0.5, 1.0, 1.5, 2.0, 2.5]).collect()}
     assert r == {"g": 2.0, "h": 1.0, "i": 1.0}
+
+
+def test_copy_state_takes_the_smaller_of_equal_ratios(spark):
+    v = spark.createDataFrame([("g", 1.75 + 1e-15), ("h", 1.25 + 1e-15)], "gene string, x double")
+    assert {r.gene: r.copies for r in networks.copy_state(v, ["gene"], "x", [0.5, 1.0, 1.5, 2.0], 0.25).collect()} == {"g": 1.5, "h": 1.0}
