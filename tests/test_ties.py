@@ -1,5 +1,6 @@
 """Cases in which queries differed from their SQL on larger tables."""
 
+from exonloom.functions import special
 from exonloom.operators import networks, tumour
 
 
@@ -14,3 +15,8 @@ def test_arm_calls_take_the_smaller_of_equal_ratios(spark):
 def test_copy_state_takes_the_smaller_of_equal_ratios(spark):
     v = spark.createDataFrame([("g", 1.75 + 1e-15), ("h", 1.25 + 1e-15)], "gene string, x double")
     assert {r.gene: r.copies for r in networks.copy_state(v, ["gene"], "x", [0.5, 1.0, 1.5, 2.0], 0.25).collect()} == {"g": 1.5, "h": 1.0}
+
+
+def test_tail_of_an_impossible_draw_is_no_evidence():
+    assert special.hypergeometric_sf(3, 10, 12, 5) == special.hypergeometric_sf(3, 10, 5, 12) == 1.0
+    assert special.hypergeometric_sf(3, 10, 3, 10) == 1.0
