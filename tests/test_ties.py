@@ -1,5 +1,7 @@
 """Cases in which queries differed from their SQL on larger tables."""
 
+import math
+
 from exonloom.functions import special
 from exonloom.operators import networks, tumour
 
@@ -20,3 +22,11 @@ def test_copy_state_takes_the_smaller_of_equal_ratios(spark):
 def test_tail_of_an_impossible_draw_is_no_evidence():
     assert special.hypergeometric_sf(3, 10, 12, 5) == special.hypergeometric_sf(3, 10, 5, 12) == 1.0
     assert special.hypergeometric_sf(3, 10, 3, 10) == 1.0
+
+
+def test_t_tail_keeps_its_digits_near_one():
+    # 1 - 2 * density(0) * |t|; df / (df + t^2) alone rounds to 1
+    for df in (4, 600, 4000):
+        top = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        for t in (1e-9, 1e-7, 3e-5):
+            assert abs(special.t_two_sided(t, df) - (1 - 2 * top * t)) < 1e-13
