@@ -84,22 +84,28 @@ def annotated_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda x: x.rlike("^(.*:)?[EI]") & ~x.rlike("^(.*:)?E.*_"))
 
 
-def site_names(sites: DataFrame, regions: DataFrame, near: int = 50, width: int = 1024) -> DataFrame:
+def site_names(sites: DataFrame, regions: DataFrame, near: int = 50) -> DataFrame:
     """sites (gene, pos) with ``name``, from regions (gene, start, end, region, strand), both ends included.
 
     Regions are taken in transcript order.  Before the first: U1.1_pos.  In an intron's first region, within ``near`` of
     its beginning the region before, of its end the one after it, else the intron itself; in any other region that
-    region.  Elsewhere, the block after the last region's: U(n+1).1_pos.  A site is looked up by its bin.
+    region.  Elsewhere, the block after the last region's: U(n+1).1_pos.
+
+    A site is looked up by its bin.  A gene's bins are as wide as its regions are on average, so that regions fall into
+    three bins each at most, taken together, however long they are.
     """
     plus = F.col("strand") == "+"
     order = Window.partitionBy("gene").orderBy(F.when(plus, F.col("start")).otherwise(-F.col("end")))
     r = regions.withColumns({"_n": F.row_number().over(order), "_before": F.lag("region").over(order), "_after": F.lead("region").over(order)})
     ends = r.groupBy("gene").agg(
-        F.min("start").alias("_low"), F.max("end").alias("_high"), F.max_by("region", "_n").alias("_last"), F.max("strand").alias("_strand")
+        F.min("start").alias("_low"), F.max("end").alias("_high"), F.max_by("region", "_n").alias("_last"), F.max("strand").alias("_strand"),
+        F.greatest(F.lit(1), F.ceil(F.avg(F.col("end") - F.col("start") + 1))).alias("_width"),
     )
-    binned = r.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    asked = sites.select("gene", "pos").distinct()
-    hits = asked.withColumn("_bin", F.floor(F.col("pos") / width)).join(binned, ["gene", "_bin"]).filter(F.col("pos").between(F.col("start"), F.col("end")))
+    bin_of = lambda x: F.floor(F.col(x) / F.col("_width"))
+    r = r.join(ends.select("gene", "_width"), "gene")
+    binned = r.withColumn("_bin", F.explode(F.sequence(bin_of("start"), bin_of("end")))).drop("_width")
+    asked = sites.select("gene", "pos").distinct().join(ends, "gene")
+    hits = asked.select("gene", "pos", bin_of("pos").alias("_bin")).join(binned, ["gene", "_bin"]).filter(F.col("pos").between(F.col("start"), F.col("end")))
     from_begin = F.when(plus, F.col("pos") - F.col("start")).otherwise(F.col("end") - F.col("pos"))
     from_end = F.when(plus, F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
     intron = F.contains("region", F.lit("I")) & F.endswith("region", F.lit(".1"))
@@ -108,7 +114,7 @@ def site_names(sites: DataFrame, regions: DataFrame, near: int = 50, width: int
     early = F.when(F.col("_strand") == "+", F.col("pos") < F.col("_low")).otherwise(F.col("pos") > F.col("_high"))
     later = F.concat(F.lit("U"), (F.regexp_extract("_last", r"^.(\d+)", 1).cast("int") + 1).cast("string"), F.lit(".1"))
     region = F.when(early, "U1.1").otherwise(F.coalesce("_region", later))
-    named = asked.join(ends, "gene").join(found, ["gene", "pos"], "left").select("gene", "pos", F.concat(region, F.lit("_"), F.col("pos").cast("string")).alias("name"))
+    named = asked.join(found, ["gene", "pos"], "left").select("gene", "pos", F.concat(region, F.lit("_"), F.col("pos").cast("string")).alias("name"))
     return sites.join(named, ["gene", "pos"])
 
 

@@ -68,3 +68,10 @@ def test_site_names_by_hand(spark):
     asked |= {("h", 700): "U1.1", ("h", 480): "E1.1", ("h", 300): "I1.1", ("h", 210): "E2.1", ("h", 50): "U3.1"}
     got = site_names(spark.createDataFrame(list(asked), "gene string, pos bigint"), spark.createDataFrame(regions, "gene string, start bigint, end bigint, region string, strand string"))
     assert {(r.gene, r.pos): r.name for r in got.collect()} == {k: f"{v}_{k[1]}" for k, v in asked.items()}
+
+
+def test_sites_in_very_long_regions(spark):
+    far = 10**13  # a region across ten billion bins of a fixed width
+    regions = [("g", 0, far, "E1.1", "+"), ("g", far + 1, 2 * far, "E2.1", "+")]
+    got = site_names(spark.createDataFrame([("g", 5), ("g", far + 5)], "gene string, pos bigint"), spark.createDataFrame(regions, "gene string, start bigint, end bigint, region string, strand string"))
+    assert sorted(r.name for r in got.collect()) == sorted(["E1.1_5", f"E2.1_{far + 5}"])
