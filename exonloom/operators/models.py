@@ -147,21 +147,25 @@ def running_sum(ranked: np.ndarray, hits: np.ndarray) -> float:
     return float(path[np.argmax(np.abs(path))])
 
 
-#: Genes of a ranked list at most, 8 bytes each.
-MOST_GENES = 1 << 20
+def ranked_list(scores: DataFrame) -> DataFrame:
+    """(gene, score, place) of scores (gene, score): places from 0 by score, largest first, then gene.  The sorted table
+    is written; a row's place is the number of rows in the files before its own and in its own before it."""
+    t = cut(scores.select("gene", "score").orderBy(F.desc("score"), "gene"))
+    t = t.select("gene", "score", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint").alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    sizes = t.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per written file
+    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return t.join(F.broadcast(sizes), "_part").select("gene", "score", (F.col("_before") + F.col("_row")).alias("place"))
 
 
 def gsea(scores: DataFrame, term_gene: DataFrame, permutations: int = 200, seed: int = 1) -> DataFrame:
     """(term, es, nes, p) of terms over scores (gene, score), ranked by score, then gene.
 
-    The scores are broadcast, a number per gene of a genome; over MOST_GENES of them are refused.  A term's task gets
-    the term's genes alone."""
-    if scores.count() > MOST_GENES:
-        raise ValueError(f"a ranked list has {MOST_GENES} genes at most")
-    ranked = scores.orderBy(F.desc("score"), "gene").toPandas()
-    order = scores.sparkSession.createDataFrame(ranked.assign(place=np.arange(len(ranked)))[["gene", "place"]], f"gene {scores.schema['gene'].dataType.simpleString()}, place bigint")
+    Permutations need the score of any place, so the ranked scores are broadcast, 8 bytes a gene, however many there
+    are; genes and places stay in Spark.  A term's task gets the places of the term's genes alone."""
+    order = ranked_list(scores)
     marked = term_gene.select("term", "gene").distinct().join(order, "gene").select("term", "place")
-    known = scores.sparkSession.sparkContext.broadcast(ranked.score.to_numpy(float))
+    ranked = order.orderBy("place").select(F.col("score").cast("double").alias("score")).toArrow().column("score").to_numpy()
+    known = scores.sparkSession.sparkContext.broadcast(ranked)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         s = known.value

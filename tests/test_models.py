@@ -80,3 +80,13 @@ def test_reference_queries_take_whole_tables(spark):
         own.setdefault(gene, []).append(f"E{k % 9 + 1}.{k % 3 + 1}")
     got = registry.queries()["collapse_core"](spark, d).collect()
     assert {(r.gene, r.structure, r.reads) for r in got} == {(g, "|".join(t), len(t)) for g, t in own.items()}
+
+
+def test_gsea_of_a_long_list(spark):
+    n = (1 << 20) + 8
+    scores = spark.range(n).selectExpr("id as gene", "double(id % 1000) as score")
+    terms = spark.createDataFrame([("t", g) for g in range(500, n, 99991)], "term string, gene bigint")
+    r = M.gsea(scores, terms, 2).collect()
+    gene = np.arange(n)
+    order = np.lexsort((gene, -(gene % 1000)))
+    assert [x.term for x in r] == ["t"] and r[0].es == pytest.approx(M.running_sum((gene % 1000)[order].astype(float), np.isin(order, range(500, n, 99991))))
