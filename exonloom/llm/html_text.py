@@ -311,7 +311,8 @@ def _hosts(urls: pa.Array) -> list[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(print, url, html) to a row per counted subtree, and one with a null key per page, whose rest is the page's."""
+    """(print, url, html) to a row per counted subtree, one with a null key per page, whose rest is the page's, and one
+    with a null rest for each subtree that isn't counted on this page but goes from it if it is template."""
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             some = batch.slice(at, 200)
@@ -320,7 +321,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = Page(page.as_py())
                 salt = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) >> 1
                 rows.append((mark, salt, None, xxhash.xxh3_64_intdigest("\n".join(p.blocks).encode("utf-8", "surrogatepass")) >> 1, False))
-                rows += [(mark, salt, *s) for s in p.subtrees(host)[0]]
+                counted, keys = p.subtrees(host)
+                rows += [(mark, salt, *s) for s in counted]
+                rows += [(mark, salt, k, None, False) for k in {*keys} - {0, *(s[0] for s in counted)}]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["print", "host", "subtree", "rest", "sure"])
 
@@ -372,7 +375,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     mark = F.xxhash64("url", "html").alias("print")
     seen = cut(base.select(mark, "url", "html").mapInArrow(_counted, "print bigint, host bigint, subtree bigint, rest bigint, sure boolean"))
     held = seen.filter("subtree is not null")
-    each = held.groupBy("host", "subtree", "rest").agg(F.max("sure").alias("sure"))
+    each = held.filter("rest is not null").groupBy("host", "subtree", "rest").agg(F.max("sure").alias("sure"))
     each = each.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("sure").alias("n_sure")).filter(F.col("n") >= recurring)
     pages_of = seen.filter("subtree is null").groupBy("host").agg(F.count_distinct("rest").alias("pages"))
     often = (F.col("n_sure") >= recurring) | (F.col("n") >= F.col("pages") * share)

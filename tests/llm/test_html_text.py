@@ -93,3 +93,12 @@ def test_templates_equal_a_brute_force_count(spark):
         assert [got[k].text for k in range(120)] == [h[2] for h in held]
     assert sum(want) > 0
     assert sum(got[k].rule_chars for k in range(120)) == sum(len(boxes[b]) for _, own, _ in held for b in own) - sum(want)
+
+
+def test_joined_templates_equal_broadcast_ones(spark):
+    # the menu is more than half of the last page: not counted there, yet template
+    menu = "<div>one menu of the site with several words</div>"
+    rows = [(k, "http://a.b/", f"<body>{menu}<div>{f'page {k} has its own long text here ' * 9}</div></body>") for k in range(6)]
+    df = spark.createDataFrame([*rows, (9, "http://a.b/", f"<body>{menu}<div>short</div></body>")], "page_id bigint, url string, html string")
+    one, two = (sorted(map(tuple, main_text(df, most_templates=n).collect())) for n in (1000, 0))
+    assert one == two and one[-1][2] == "short"
