@@ -170,7 +170,7 @@ _LEV = f"(SELECT gene, donor, avg(value) AS v FROM {MATRIX} JOIN {OBS} USING (ce
 @query("masked_corr_topk", f"SELECT x, y, n, round(r, 6) AS r FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(abs(r), 9) DESC, y) AS k FROM (SELECT a.gene AS x, b.gene AS y, count(*) AS n, corr(a.v, b.v) AS r FROM {_LEV} a JOIN {_LEV} b USING (donor) WHERE a.gene < b.gene GROUP BY 1, 2 HAVING count(*) >= 5)) WHERE k <= 3")
 def masked_corr_topk(s, d):
     v = A.matrix(s, d).filter("value > 20").join(A.obs(s, d), "cell").groupBy("gene", "donor").agg(F.avg("value").alias("v"))
-    return K.top_k(T.correlated_pairs(v, "gene", "donor", "v", 5), ["x"], [F.desc(F.round(F.abs("r"), 9)), F.asc("y")], 3, "k").select("x", "y", "n", R("r").alias("r"))
+    return T.correlated_pairs(v, "gene", "donor", "v", 5, top=3).select("x", "y", "n", R("r").alias("r"))
 
 
 @query("tfidf_cluster", f"""WITH k AS (SELECT state, gene, count(*) AS k FROM {MATRIX} JOIN {OBS} USING (cell) GROUP BY 1, 2), m AS (SELECT state, count(*) AS m FROM {OBS} GROUP BY 1)
