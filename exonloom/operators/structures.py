@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exonloom.operators.joins import contained_tokens
 from exonloom.operators.tokens import adjacent, junction_core
 from exonloom.sources.shared import cut
 
@@ -66,11 +65,17 @@ def _totals(structures: DataFrame) -> DataFrame:
 
 def _contained(cores: DataFrame) -> DataFrame:
     """(gene, core, outer): distinct cores (gene, core: 'a|b') and those of the gene that hold them, themselves included.
-    Tokens carry their gene, so that the join on the rarest token stays within it."""
-    own = F.transform(F.split("core", r"\|"), lambda x: F.concat(F.col("gene").cast("string"), F.lit("/"), x))
-    distinct = cores.select("gene", "core").distinct().withColumn("short", own)
-    pairs = contained_tokens(distinct, distinct.select(F.col("core").alias("outer"), F.col("short").alias("long"), F.col("gene").alias("_g")).withColumn("_k", F.struct("_g", "outer")).select("_k", "long"), "_k", "short", "long")
-    return pairs.select("gene", "core", F.col("_k.outer").alias("outer"))
+
+    A core's consecutive parts, n * (n + 1) / 2 of n tokens, are hashed with the gene and meet the cores of that hash, so
+    that only pairs that hold each other are made, however common their tokens; hashes are confirmed on the texts."""
+    distinct = cut(cores.select("gene", "core").distinct())
+    one = distinct.select("gene", "core", F.xxhash64("gene", "core").alias("_h"))
+    t, size = F.split("core", r"\|"), F.size(F.split("core", r"\|"))
+    runs = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.xxhash64("gene", F.array_join(F.slice(t, i, n), "|"))))
+    parts = distinct.select(F.xxhash64("gene", "core").alias("_o"), F.explode(F.array_distinct(F.flatten(runs))).alias("_h"))
+    outer = one.select(F.col("gene").alias("_g"), F.col("core").alias("outer"), F.col("_h").alias("_o"))
+    ends = lambda c: F.concat(F.lit("|"), F.col(c), F.lit("|"))
+    return parts.join(one, "_h").join(outer, "_o").filter(F.col("gene").eqNullSafe(F.col("_g")) & F.contains(ends("outer"), ends("core"))).select("gene", "core", "outer")
 
 
 def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
