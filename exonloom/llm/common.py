@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exonloom.sources.shared import cut, discard
 
-__all__ = ["connected_components", "crc_remainder", "cut", "discard", "picked"]
+__all__ = ["collected", "connected_components", "crc_remainder", "cut", "discard", "merged", "picked"]
 
 
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
@@ -20,12 +20,23 @@ def crc_remainder(column: Column, by: int) -> Column:
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(by)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join, so that the driver never gathers it for a broadcast."""
+    return df.hint("merge")
+
+
+def collected(df: DataFrame) -> None:
+    """Have the driver collect its garbage: plans of steps that are over go, its heap shrinks again, and Spark drops
+    the shuffle files and broadcasts that only they referred to."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): for every node of ``edges`` (a, b: bigint) the smallest node that it can reach.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) on tables in the shared folder. Each step is a
     minimum per node, combined before the shuffle, joined back to the edges by a join that adaptive execution can
-    split, so a node with very many neighbours is no task's whole burden.  Rounds go on until nothing changes; if
+    split, so a node with very many neighbours is no task's whole burden; no side is broadcast.  Rounds go on until nothing changes; if
     that takes over ``most_rounds``, far more than the logarithm of any number of nodes, it is an error.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
@@ -34,13 +45,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         # large star: every neighbour above u is tied to the least of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(merged(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
         # small star: u and its neighbours below it are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        small = large.join(merged(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         after = cut(small.filter("u > v").distinct())
         discard(e)
+        collected(after)
         e = after
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:

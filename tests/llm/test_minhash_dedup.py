@@ -4,6 +4,8 @@ import pathlib
 
 import pytest
 
+import corpus_pipeline
+from exonloom.llm import common, minhash_dedup
 from exonloom.llm.minhash_dedup import least_agreement, near_duplicates
 
 
@@ -44,6 +46,24 @@ def test_equals_all_pairs(docs, width, percent, m):
     assert any(r[0] != r[2] for r in got)
 
 
+@pytest.mark.parametrize("pipeline", [False])
+def test_no_join_gathers_a_table_on_the_driver(spark, docs, monkeypatch, pipeline):
+    """Whatever the session's threshold, no step of op1 or of the pipeline's near-dedup plans a broadcast."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common_cut(df)
+
+    common_cut = common.cut
+    for module in (common, minhash_dedup, corpus_pipeline):
+        monkeypatch.setattr(module, "cut", seen)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    seen(corpus_pipeline.one_of_near_copies(spark, docs, "") if pipeline else near_duplicates(docs, width=3, percent=85))
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_empty_table(docs):
     assert near_duplicates(docs.limit(0), width=3, percent=85).count() == 0
 
