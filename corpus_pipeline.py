@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exonloom.llm import bpe, mixing, quality, toxicity
-from exonloom.llm.common import cut, discard
+from exonloom.llm.common import collected, cut, discard, merged
 from exonloom.llm.minhash_dedup import near_duplicates
 from exonloom.llm.queries import vocabulary_file
 
@@ -66,8 +66,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     own = numbered(docs)
     found = near_duplicates(own, id_col="_row", width=5, percent=80, m=7).select("_row", "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "_row")
-    first = own.select("_row", place.alias("place")).join(found, "_row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return own.join(first.select("place._row"), "_row", "left_semi").drop("_row")
+    first = own.select("_row", place.alias("place")).join(merged(found), "_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return own.join(merged(first.select("place._row")), "_row", "left_semi").drop("_row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -109,5 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES[:-1]:
         after = cut(stage(spark, docs, sf_dir))
         discard(docs)
+        collected(after)
         docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,7 +46,7 @@ def test_equals_all_pairs(docs, width, percent, m):
     assert any(r[0] != r[2] for r in got)
 
 
-@pytest.mark.parametrize("pipeline", [False])
+@pytest.mark.parametrize("pipeline", [False, True])
 def test_no_join_gathers_a_table_on_the_driver(spark, docs, monkeypatch, pipeline):
     """Whatever the session's threshold, no step of op1 or of the pipeline's near-dedup plans a broadcast."""
     plans = []
