@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exonloom.sources.shared import cut, discard
 
-__all__ = ["collected", "connected_components", "crc_remainder", "cut", "discard", "merged", "picked"]
+__all__ = ["collected", "connected_components", "crc_remainder", "cut", "discard", "merged", "picked", "trimmed"]
 
 
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
@@ -31,6 +34,15 @@ def collected(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Give the memory that this process has freed back to the system: a worker that waits for its next task, or whose
+    batch is done, would keep it otherwise, beside what the executor's other processes take."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component): for every node of ``edges`` (a, b: bigint) the smallest node that it can reach.
 

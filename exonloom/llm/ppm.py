@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exonloom.llm.common import crc_remainder, cut, discard
+from exonloom.llm.common import crc_remainder, cut, discard, trimmed
 from exonloom.llm.shingles import slices, word_hashes
 
 #: Context bytes at most; a gram, with the byte that follows, fits 64 bits.
@@ -32,9 +33,12 @@ MOST_NODES = 1 << 22
 LOW = 2
 #: Words whose counts are broadcast at most, 16 bytes each; the others' are joined.
 MOST_WORDS = 1 << 19
-#: Bytes of text that are worked on at a time, and counts that a task holds of a kind.
+#: Bytes of text that are counted at a time, and scored at a time: beside the costs, some 100 bytes of memory for each.
 SLICE = 1_000_000
+_SCORED = 250_000
+#: Counts that a task holds of a kind, and rows that it hands on at a time.
 _HELD = 1_500_000
+_ROWS = 100_000
 
 
 def stream_of(text: str | None) -> bytes:
@@ -61,6 +65,11 @@ def grams_of(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return g[own], begins
 
 
+def _lengths(texts: pa.Array) -> list[int]:
+    """Bytes of each text, without making Python's strings of all of a batch."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
@@ -78,26 +87,30 @@ def _counted(order: int):
         held: dict[int, list] = {0: [], 1: [], 3: []}
         docs = 0
 
-        def out(kind: int) -> pa.RecordBatch:
+        def out(kind: int) -> Iterator[pa.RecordBatch]:
             keys, counts = _merged(held[kind])
             held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
+            for k in range(0, len(keys), _ROWS):
+                own = keys[k : k + _ROWS].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(counts[k : k + _ROWS])], names=["kind", "key", "n"])
 
         for batch in batches:
-            texts, apart = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            apart = batch.column(1).to_pylist()
             docs += apart.count(False)
-            for lo, hi in slices([len(t or "") for t in texts], SLICE):
-                train = [stream_of(t) for t, h in zip(texts[lo:hi], apart[lo:hi]) if not h]
-                other = [stream_of(t) for t, h in zip(texts[lo:hi], apart[lo:hi]) if h]
+            for lo, hi in slices(_lengths(batch.column(0)), SLICE):
+                texts = batch.column(0)[lo:hi].to_pylist()
+                train = [stream_of(t) for t, h in zip(texts, apart[lo:hi]) if not h]
+                other = [stream_of(t) for t, h in zip(texts, apart[lo:hi]) if h]
                 for kind, keys in ((0, grams_of(train, order)[0]), (1, word_hashes(b"".join(train))[0]), (3, grams_of(other, order)[0])):
                     held[kind].append(tuple(x.astype(np.int64) if i else x for i, x in enumerate(np.unique(keys, return_counts=True))))
                     if sum(len(p[0]) for p in held[kind]) > _HELD:
                         held[kind] = [_merged(held[kind])]
                         if len(held[kind][0][0]) > _HELD // 2:
-                            yield out(kind)
+                            yield from out(kind)
         for kind in held:
             if held[kind]:
-                yield out(kind)
+                yield from out(kind)
+        trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["kind", "key", "n"])
 
     return run
@@ -285,9 +298,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         priced, prices, frequent, times = known.value
         task, rows = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts], SLICE):
-                streams = [stream_of(t) for t in texts[lo:hi]]
+            for lo, hi in slices(_lengths(batch.column(1)), _SCORED):
+                streams = [stream_of(t) for t in batch.column(1)[lo:hi].to_pylist()]
                 grams, begins = grams_of(streams, order)
                 seen, at = np.unique(grams, return_inverse=True)
                 place = np.minimum(np.searchsorted(priced, seen), max(len(priced) - 1, 0))
@@ -313,6 +325,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 uid = pa.array((task << 33) + rows + np.arange(hi - lo))
                 rows += hi - lo
                 yield pa.RecordBatch.from_arrays([uid, batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(per + 1), pa.array(hits), pa.array(logs), pa.array(score), left, others], names=["uid", "id", "held", "n_tokens", "hits", "logs", "score", "rare", "grams"])
+            trimmed()
 
     len_texts = texts
     out = cut(base.select("id", "text", "held").mapInArrow(scored, f"uid bigint, id {kind}, held boolean, n_tokens bigint, hits bigint, logs double, score double, rare array<bigint>, grams array<bigint>"))

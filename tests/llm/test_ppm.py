@@ -1,10 +1,12 @@
 """The trie's probabilities against a plain PPM with symbol exclusion, and the base score against counting."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from exonloom.llm import ppm
 
@@ -90,3 +92,17 @@ def test_order_five_equals_plain_ppm(spark, docs):
     train = [ppm.stream_of(r.text) for r in rows if not held(r)]
     want = sorted(plain_log10(train, ppm.stream_of(r.text), 5) for r in rows)
     assert np.allclose(sorted(r.score for r in ppm.score_texts(short, most_nodes=200).collect()), want, atol=1e-5)
+
+
+def test_a_batch_of_many_texts_takes_little_memory(monkeypatch):
+    """Texts become Python's strings slice by slice, and counts leave the task in small batches."""
+    text = " ".join(f"word{k} {k * k}" for k in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k} {text}" for k in range(1500)] + [None, ""]), pa.array([False] * 1502)], names=["text", "held"])
+    tracemalloc.start()
+    out = list(ppm._counted(3)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 25_000_000 and most < 1.5 * batch.nbytes
+    monkeypatch.setattr(ppm, "_ROWS", 500)
+    small = list(ppm._counted(3)(iter([batch])))
+    assert max(b.num_rows for b in small) <= 500 and pa.Table.from_batches(small).equals(pa.Table.from_batches(out))
