@@ -1,9 +1,12 @@
 """Cases in which queries differed from their SQL on larger tables."""
 
 import math
+import random
+
+from pyspark.sql import functions as F
 
 from exonloom.functions import special
-from exonloom.operators import networks, selection, tumour
+from exonloom.operators import networks, ranking, selection, tumour
 
 
 def test_arm_calls_take_the_smaller_of_equal_ratios(spark):
@@ -32,6 +35,12 @@ def test_t_tail_keeps_its_digits_near_one():
             assert abs(special.t_two_sided(t, df) - (1 - 2 * top * t)) < 1e-13
 
 
+def test_q_is_found_though_p_comes_out_otherwise_when_computed_again(spark):
+    p = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    df = spark.range(50).repartition(4).withColumn("p", p("id"))
+    assert sum(r.q is not None for r in ranking.with_q(df, [], "p", ["id"]).collect()) == 50
+
+
 def test_a_barcode_labelled_twice_gives_both_rows(spark):
     cells = spark.createDataFrame([("AACC-1", 1), ("ACGA-1", 2)], "barcode string, ord bigint")
     labels = spark.createDataFrame([("AACC-1", "x", 1), ("AACC-1", "y", 2), ("ACGA-1", "x", 3)], "barcode string, label string, ord bigint")
