@@ -128,10 +128,17 @@ def levels(s, d):
     return m.groupBy("gene", "donor").agg(F.avg("value").alias("v"))
 
 
-@query("intercorrelated_features", f"""SELECT gene, count(*) + 1 AS partners FROM (SELECT a.gene, b.gene AS other, corr(a.v, b.v) AS r FROM {_LEV} a JOIN {_LEV} b USING (donor) WHERE a.gene != b.gene GROUP BY 1, 2 HAVING count(*) >= 3)
+_ALL_LEV = f"(SELECT gene, donor, avg(value) AS v FROM {MATRIX} JOIN {OBS} USING (cell) GROUP BY 1, 2)"
+
+
+def all_levels(s, d):
+    return A.matrix(s, d).join(A.obs(s, d), "cell").groupBy("gene", "donor").agg(F.avg("value").alias("v"))
+
+
+@query("intercorrelated_features", f"""SELECT gene, count(*) + 1 AS partners FROM (SELECT a.gene, b.gene AS other, corr(a.v, b.v) AS r FROM {_ALL_LEV} a JOIN {_ALL_LEV} b USING (donor) WHERE a.gene != b.gene GROUP BY 1, 2 HAVING count(*) >= 3)
 WHERE r > 0.1 GROUP BY 1 HAVING count(*) + 1 > 3""")
 def intercorrelated_features(s, d):
-    return S.with_partners(levels(s, d), "gene", "donor", "v", 0.1, 3)
+    return S.with_partners(all_levels(s, d), "gene", "donor", "v", 0.1, 3)
 
 
 @query("weighted_corr", f"""WITH w AS (SELECT donor AS sample, count(*) AS w FROM {_LEV} GROUP BY 1), t AS (SELECT l.gene, c, w.w, l.v AS x, CASE WHEN c = 0 THEN n_regionkey + n_nationkey / 10.0 ELSE n_nationkey % 7 END AS y

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from exonloom.operators import stats
+from exonloom.plans import registry
 
 
 def by_hand(values, least):
@@ -40,3 +41,12 @@ def test_blocks_equal_single_pairs(spark, monkeypatch):
     n = {r.gene: r.n for r in stats.correlated_partners(df, "gene", "donor", "v", 3, 0.1).collect()}
     assert n == {f: c for f in range(150) if (c := sum(f in k for k in over))}
     assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()  # no table of pairs and samples
+
+
+def test_intercorrelated_features_reads_its_whole_table(spark, tmp_path):
+    # genes that 4 doesn't divide, and counts of 20 or less
+    spark.createDataFrame([(c, c, "A", 1.0) for c in range(4)], "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(c, c) for c in range(4)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, g, float(g + c)) for c in range(4) for g in (1, 2, 3, 5)], "l_orderkey bigint, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["intercorrelated_features"](spark, str(tmp_path)).collect()
+    assert {(r.gene, r.partners) for r in got} == {(g, 4) for g in (1, 2, 3, 5)}
