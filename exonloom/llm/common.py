@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exonloom.sources.shared import cut, discard
+from exonloom.sources.shared import cut, discard, merged
 
 __all__ = ["collected", "connected_components", "crc_remainder", "cut", "discard", "merged", "picked", "trimmed"]
 
@@ -23,11 +23,6 @@ def crc_remainder(column: Column, by: int) -> Column:
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(by)
 
 
-def merged(df: DataFrame) -> DataFrame:
-    """``df`` as a side of a sort-merge join, so that the driver never gathers it for a broadcast."""
-    return df.hint("merge")
-
-
 def collected(df: DataFrame) -> None:
     """Have the driver collect its garbage: plans of steps that are over go, its heap shrinks again, and Spark drops
     the shuffle files and broadcasts that only they referred to."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from exonloom.operators.tokens import adjacent, junction_core
-from exonloom.sources.shared import cut
+from exonloom.sources.shared import cut, merged
 
 
 def gene_model(exons: DataFrame, gene: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _contained(cores: DataFrame) -> DataFrame:
     parts = distinct.select(F.xxhash64("gene", "core").alias("_o"), F.explode(F.array_distinct(F.flatten(runs))).alias("_h"))
     outer = one.select(F.col("gene").alias("_g"), F.col("core").alias("outer"), F.col("_h").alias("_o"))
     ends = lambda c: F.concat(F.lit("|"), F.col(c), F.lit("|"))
-    return parts.join(one, "_h").join(outer, "_o").filter(F.col("gene").eqNullSafe(F.col("_g")) & F.contains(ends("outer"), ends("core"))).select("gene", "core", "outer")
+    return parts.join(merged(one), "_h").join(merged(outer), "_o").filter(F.col("gene").eqNullSafe(F.col("_g")) & F.contains(ends("outer"), ends("core"))).select("gene", "core", "outer")
 
 
 def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
@@ -86,7 +86,8 @@ def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
     Another structure folds into the longest reference left whose core holds or equals its own; of the rest, cores that
     hold more tokens come first, then more reads, then names, and the first whose core holds or equals a structure's is
     its parent.  What holds a folded one's core also holds what it held, so nothing depends on the order of folding but
-    the choice among parents, and no gene is worked on one structure at a time.
+    the choice among parents, and no gene is worked on one structure at a time.  Every table here grows with the
+    structures, so no join broadcasts: the driver gathers nothing.
     """
     s = _totals(structures).filter((F.col("reads") >= least_reads) | F.col("is_ref"))
     t = F.split("structure", r"\|")
@@ -95,25 +96,25 @@ def collapse_by_core(structures: DataFrame, least_reads: int = 1) -> DataFrame:
     inside = cut(_contained(s))
     refs = s.filter("is_ref")
     side = lambda df: df.select("gene", F.col("core").alias("outer"), F.col("structure").alias("to"), F.col("flen").alias("to_flen"), F.col("n").alias("to_n"), F.col("reads").alias("to_reads"))
-    over = refs.join(inside, ["gene", "core"]).join(side(refs), ["gene", "outer"]).filter("to_n > n")
+    over = refs.join(merged(inside), ["gene", "core"]).join(merged(side(refs)), ["gene", "outer"]).filter("to_n > n")
     lost = over.select("gene", "structure").distinct()
-    left = refs.join(lost, ["gene", "structure"], "left_anti")
-    kept = over.join(left.select("gene", F.col("structure").alias("to")), ["gene", "to"], "left_semi")
+    left = refs.join(merged(lost), ["gene", "structure"], "left_anti")
+    kept = over.join(merged(left.select("gene", F.col("structure").alias("to"))), ["gene", "to"], "left_semi")
     of_refs = kept.groupBy("gene", "structure").agg(F.max(F.struct("to_flen", "to")).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
 
     novel = s.filter(~F.col("is_ref"))
-    to_refs = novel.join(inside, ["gene", "core"]).join(side(left), ["gene", "outer"])
+    to_refs = novel.join(merged(inside), ["gene", "core"]).join(merged(side(left)), ["gene", "outer"])
     to_refs = to_refs.groupBy("gene", "structure").agg(F.min(F.struct((-F.col("to_flen")).alias("f"), "to")).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
     to_refs = cut(to_refs)
-    rest = novel.join(to_refs, ["gene", "structure"], "left_anti")
+    rest = novel.join(merged(to_refs), ["gene", "structure"], "left_anti")
     before = (F.col("to_n") > F.col("n")) | (F.col("to_reads") > F.col("reads")) | ((F.col("to_reads") == F.col("reads")) & (F.col("to") < F.col("structure")))
-    pairs = rest.join(inside, ["gene", "core"]).join(side(rest), ["gene", "outer"]).filter((F.col("to") != F.col("structure")) & (F.col("to_n") >= F.col("n")) & before)
+    pairs = rest.join(merged(inside), ["gene", "core"]).join(merged(side(rest)), ["gene", "outer"]).filter((F.col("to") != F.col("structure")) & (F.col("to_n") >= F.col("n")) & before)
     folded = pairs.select("gene", "structure").distinct()
-    heads = pairs.join(folded.withColumnRenamed("structure", "to"), ["gene", "to"], "left_anti")
+    heads = pairs.join(merged(folded.withColumnRenamed("structure", "to")), ["gene", "to"], "left_anti")
     order = F.struct((-F.col("to_n")).alias("n"), (-F.col("to_reads")).alias("r"), "to")
     of_rest = heads.groupBy("gene", "structure").agg(F.min(order).alias("b")).select("gene", "structure", F.col("b.to").alias("parent"))
     parents = of_refs.unionByName(to_refs).unionByName(of_rest)
-    return s.join(parents, ["gene", "structure"], "left").select("gene", "structure", "reads", "is_ref", F.coalesce("parent", "structure").alias("parent"))
+    return s.join(merged(parents), ["gene", "structure"], "left").select("gene", "structure", "reads", "is_ref", F.coalesce("parent", "structure").alias("parent"))
 
 
 def longest_container(structures: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def longest_container(structures: DataFrame) -> DataFrame:
     s = _totals(structures).select("gene", "structure")
     pairs = _contained(s.withColumnRenamed("structure", "core")).filter(F.length("outer") > F.length("core"))
     best = pairs.groupBy("gene", F.col("core").alias("structure")).agg(F.min(F.struct((-F.length("outer")).alias("n"), "outer")).alias("b"))
-    return s.join(best, ["gene", "structure"], "left").select("gene", "structure", F.coalesce("b.outer", "structure").alias("parent"))
+    return s.join(merged(best), ["gene", "structure"], "left").select("gene", "structure", F.coalesce("b.outer", "structure").alias("parent"))
 
 
 def em_shares(compatible: DataFrame, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:

@@ -102,9 +102,10 @@ def geometric_mean_of(value: str) -> Column:
 def junction_core(tokens: Column) -> Column:
     """Tokens from the donor of the first splice junction to the acceptor of the last, without coordinates of their own
     and repeats that this makes.  A junction is where the exon block changes; without one, the tokens as they are."""
-    plain = deduped(F.transform(tokens, lambda x: F.substring_index(x, "_", 1)))
     block = lambda x: F.substring_index(x, ".", 1)
-    indices = F.sequence(F.lit(1), F.size(plain) - 1)
-    junctions = F.filter(indices, lambda k: block(F.element_at(plain, k)) != block(F.element_at(plain, k + 1)))
-    first, last = F.array_min(junctions), F.array_max(junctions)
-    return F.when((F.size(plain) > 1) & first.isNotNull(), F.slice(plain, first, last - first + 2)).otherwise(tokens)
+    junctions = lambda p: F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda k: block(F.element_at(p, k)) != block(F.element_at(p, k + 1)))
+    between = lambda p, first, last: F.slice(p, first, last - first + 2)
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  # a lambda's argument is evaluated once
+    plain = deduped(F.transform(tokens, lambda x: F.substring_index(x, "_", 1)))
+    core = once(plain, lambda p: F.when(F.size(p) > 1, once(junctions(p), lambda j: between(p, F.array_min(j), F.array_max(j)))))
+    return F.coalesce(core, tokens)

@@ -12,6 +12,7 @@ from exonloom.plans.registry import query
 from exonloom.plans.token_queries import _S, structures
 from exonloom.sources import adapters as A
 from exonloom.sources.adapters import MATRIX, OBS, POSITIONS
+from exonloom.sources.shared import merged
 
 R = lambda c, n=6: F.round(c, n)
 _ST = f"(SELECT state, gene, sum(value) / any_value(n) AS mean, count(*) / any_value(n) AS det FROM {MATRIX} JOIN {OBS} USING (cell) JOIN (SELECT state, count(*) AS n FROM {OBS} GROUP BY 1) USING (state) GROUP BY 1, 2)"
@@ -98,7 +99,7 @@ FROM {_S} s JOIN customer ON c_custkey = s.gene GROUP BY 1, 2)"""
 
 
 def by_nation(s, d):
-    t = structures(s, d).join(A.table(s, d, "customer").select(F.col("c_custkey").alias("gene"), "c_nationkey"), "gene")
+    t = structures(s, d).join(merged(A.table(s, d, "customer").select(F.col("c_custkey").alias("gene"), "c_nationkey")), "gene")
     return t.select(F.col("c_nationkey").alias("gene"), F.array_join("t", "|").alias("structure"), F.size("t").cast("bigint").alias("reads"), (F.col("gene") % 50 == 0).alias("is_ref"))
 
 
