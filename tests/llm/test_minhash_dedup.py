@@ -3,6 +3,7 @@
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from exonloom.llm import common, minhash_dedup
@@ -107,3 +108,17 @@ def test_recall_on_the_supplied_documents(spark, width, percent, m):
     want = {doc: low[top(k)] for k, (doc, _) in enumerate(rows)}
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=width, percent=percent, m=m).collect()}
     assert len(pairs) > 20 and got == want
+
+
+def test_bytes_rule_out_pairs_before_arrays_are_compared(spark):
+    c = F.col
+    rows = [([k * 7 - 5 for k in range(24)], [k * 7 - 5 + 3 * (k in odd) for k in range(24)], 24 - len(odd)) for odd in ((), (0, 7, 8, 23), range(24))]
+    df = spark.createDataFrame(rows, "x array<int>, y array<int>, n int")
+    pairs = zip(minhash_dedup._low_bytes(c("x"), 24), minhash_dedup._low_bytes(c("y"), 24))
+    assert all(r.n == r.found for r in df.withColumn("found", sum(minhash_dedup._may_agree(*p) for p in pairs)).collect())
+    nodes = spark.createDataFrame([(k, 20, [k] * 24) for k in range(15)], "node bigint, n bigint, mh array<int>")
+    undecided = nodes.selectExpr("bigint(1) as key", "0 as table", "node", "n", "node as component", "bigint(0) as main")
+    sets = nodes.select("node", F.lit(bytes(range(160))).alias("elements"))
+    plan = minhash_dedup._late_pairs(undecided, nodes, sets, 85, 6, 2)._jdf.queryExecution().optimizedPlan().toString()
+    (join,) = [line for line in plan.split("\n") if "Join" in line and "zip_with" in line]
+    assert 0 < join.find("bit_count") < join.find("zip_with")
